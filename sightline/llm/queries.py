@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import curriculum, shards
+from . import curriculum, decontaminate, shards, tiff, token_store
 
 
 def queries() -> dict:
     return {
+        "op1_tiff_pages": tiff.op1_tiff_pages,
+        "op3_wu_manber": decontaminate.op3_wu_manber,
+        "op5_token_store": token_store.op5_token_store,
         "op7_histogram_sort": shards.op7_histogram_sort,
         "op10_curriculum_mix": curriculum.op10_curriculum_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_wu_manber": decontaminate.ORACLE}
