@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import curriculum, decontaminate, shards, tiff, token_store
+from . import curriculum, decontaminate, jaccard, shards, tiff, token_store
 
 
 def queries() -> dict:
     return {
         "op1_tiff_pages": tiff.op1_tiff_pages,
+        "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op3_wu_manber": decontaminate.op3_wu_manber,
         "op5_token_store": token_store.op5_token_store,
         "op7_histogram_sort": shards.op7_histogram_sort,
