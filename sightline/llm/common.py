@@ -55,3 +55,45 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def hash62(*columns) -> "F.Column":
     """A non-negative 62-bit hash: differences of two of them never overflow."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 2)
+
+
+def fold_of(id_column) -> "F.Column":
+    """crc32 of the id as text, modulo 5; remainder 0 is held out of all learning."""
+    return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 5
+
+
+def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, bound: int, folds: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    """At most ``bound`` labelled documents of the given folds: ``doc_id, text, label``.
+
+    They are the first by a hash of the id, so the choice doesn't depend on the label,
+    the order of rows or the number of partitions.  A repeated label counts once (the
+    larger value); null labels and ids are left out.
+    """
+    kept = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(fold_of(F.col("doc_id")).isin(*folds))
+    kept = kept.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    kept = kept.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(bound)
+    # At most ``bound`` ids and labels: 12 bytes each.
+    return docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id")
+
+
+class WordHashes:
+    """64-bit hashes of words, kept in a bounded table per Python worker."""
+
+    def __init__(self, bound: int = 500_000):
+        import xxhash
+
+        self.hash, self.bound, self.known = xxhash.xxh3_64_intdigest, bound, {}
+
+    def __call__(self, words):
+        import numpy as np
+
+        known = self.known
+        try:
+            return np.array([known[w] for w in words], np.uint64)
+        except KeyError:
+            if len(known) > self.bound:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = self.hash(w)
+            return np.array([known[w] for w in words], np.uint64)

@@ -90,24 +90,25 @@ def mix(docs: DataFrame, cycle=CYCLE, max_repeats: int = MAX_REPEATS, schedules=
     ours = ("size", "source_size", "target", "times", "taken", "positions")
     key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.drop(*ours).withColumns({"size": word_count(F.col(text_col)), "source_key": key, "__sl_md5": digest, "__sl_cell": F.substring(digest, 1, CELL_DIGITS)})
-    light = rows.select("source_key", "__sl_cell", "size")
-    cells = light.groupBy("source_key", "__sl_cell").agg(F.sum("size").alias("__sl_in_cell"))
+    # Everything that needs the text is computed before the exchange.
+    rows = docs.withColumns({"__sl_size": word_count(F.col(text_col)), "__sl_source": key, "__sl_md5": digest, "__sl_cell": F.substring(digest, 1, CELL_DIGITS), "__sl_tie": F.xxhash64(F.col(id_col), F.col(text_col))}).drop(*ours)
+    cells = rows.groupBy("__sl_source", "__sl_cell").agg(F.sum("__sl_size").alias("__sl_in_cell"))
     # From here on one row per occupied (source, cell): 16 ** CELL_DIGITS rows per source at most.
-    before = F.sum("__sl_in_cell").over(Window.partitionBy("source_key").orderBy("__sl_cell").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = cells.select("source_key", "__sl_cell", F.coalesce(before, F.lit(0)).alias("__sl_before"))
-    targets = source_targets(cells.groupBy("source_key").agg(F.sum("__sl_in_cell").alias("source_size")), cycle, max_repeats)
-    offsets = offsets.join(targets, "source_key")
-    placed = rows.join(offsets, ["source_key", "__sl_cell"])
-    within = Window.partitionBy("source_key", "__sl_cell").orderBy("__sl_md5", F.col(id_col), "size", F.xxhash64(F.col(text_col)))
-    start = F.col("__sl_before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = placed.withColumn("__sl_middle", start + F.col("size") / F.lit(2.0))
+    before = F.sum("__sl_in_cell").over(Window.partitionBy("__sl_source").orderBy("__sl_cell").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = cells.select("__sl_source", "__sl_cell", F.coalesce(before, F.lit(0)).alias("__sl_before"))
+    sizes = cells.groupBy(F.col("__sl_source").alias("source_key")).agg(F.sum("__sl_in_cell").alias("source_size"))
+    targets = source_targets(sizes, cycle, max_repeats).select(F.col("source_key").alias("__sl_source"), "source_size", "target", F.col("place").alias("__sl_place"))
+    placed = rows.join(offsets.join(targets, "__sl_source"), ["__sl_source", "__sl_cell"])
+    within = Window.partitionBy("__sl_source", "__sl_cell").orderBy("__sl_md5", "__sl_size", "__sl_tie")
+    size = F.col("__sl_size")
+    start = F.col("__sl_before") + F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, 0)) - size
+    placed = placed.withColumn("__sl_middle", start + size / F.lit(2.0))
     uses = [F.col("__sl_middle") + F.lit(k) * F.col("source_size") for k in range(max_repeats)]
-    used = [(F.col("size") > 0) & (u < F.col("target")) for u in uses]
+    used = [(size > 0) & (u < F.col("target")) for u in uses]
     times = sum((u.cast("int") for u in used[1:]), used[0].cast("int"))
-    spots = F.filter(F.array(*(F.when(ok, position_of(u / F.col("target"), F.col("place"), schedules)) for u, ok in zip(uses, used))), lambda x: x.isNotNull())
-    placed = placed.withColumn("times", times)
-    return placed.withColumns({"taken": F.col("size") * F.col("times"), "positions": spots}).drop("source_key", "place", "weight", "__sl_md5", "__sl_cell", "__sl_before", "__sl_middle")
+    spots = F.filter(F.array(*(F.when(ok, position_of(u / F.col("target"), F.col("__sl_place"), schedules)) for u, ok in zip(uses, used))), lambda x: x.isNotNull())
+    placed = placed.withColumns({"size": size, "times": times, "taken": size * times, "positions": spots})
+    return placed.drop("__sl_size", "__sl_source", "__sl_place", "__sl_md5", "__sl_cell", "__sl_tie", "__sl_before", "__sl_middle")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
@@ -117,9 +118,11 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def op10_curriculum_mix(spark, sf_dir: str) -> DataFrame:
-    """One row per document, in the order of its first use; unused ones come last."""
-    mixed = mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("first_position"))
-    return mixed.repartitionByRange(F.col("first_position").asc_nulls_last()).sortWithinPartitions(F.col("first_position").asc_nulls_last())
+    """One row per document, in the order of its first use; unused ones come last, by id."""
+    mixed = mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    rows = mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.try_element_at("positions", F.lit(1)).alias("first"))
+    order = [F.col("first").asc_nulls_last(), F.col("doc_id")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("first")
 
 
 ORACLE = r"""
@@ -134,7 +137,7 @@ f AS (SELECT *, cap / w <= (t - coalesce(sum(cap) OVER o, 0)) / (ws - coalesce(s
       FROM r WINDOW o AS (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT k, source_size, CASE WHEN sat THEN cap::DOUBLE ELSE
         w * (t - sum(CASE WHEN sat THEN cap ELSE 0 END) OVER ()) / nullif(ws - sum(CASE WHEN sat THEN w ELSE 0 END) OVER (), 0) END AS target FROM f),
-p AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.k ORDER BY m, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2.0 AS middle
+p AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.k ORDER BY m, size ROWS UNBOUNDED PRECEDING) - size / 2.0 AS middle
       FROM d JOIN g ON d.k = g.k)
 SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target,
        (size * ((middle < target)::INT + (middle + source_size < target)::INT + (middle + 2 * source_size < target)::INT))::BIGINT AS taken

@@ -141,20 +141,23 @@ def _matcher(block, window: int) -> Matcher:
     return _MATCHERS[key]
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``id_col``, ``n_words``, ``n_hit``, ``items`` (sorted) and ``spans`` of each row of ``docs``.
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (default: ``id_col``), ``n_words``, ``n_hit``, ``items`` (sorted) and ``spans`` of each row of ``docs``.
 
     ``spans`` are the hit stretches as [first word, one past the last).  Null, empty
     and wordless texts have 0 words and no hits; null or wordless items have no
     windows; repeated rows are answered each; other columns of ``docs`` are ignored.
+    Names in ``keep`` that clash with the four result columns are an error.
     """
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, text_col, block_words)]
-    id_type = docs.schema[id_col].dataType.simpleString()
+    keep = keep or [id_col]
+    if clash := {"n_words", "n_hit", "items", "spans"} & set(keep):
+        raise ValueError(f"columns to keep clash with results: {sorted(clash)}")
 
     def search(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(0).to_pylist()
             split = [words_of(t) for t in texts]
             spans: list[list] = [[] for _ in split]
             items: list[set] = [set() for _ in split]
@@ -169,17 +172,18 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             joined = [merged(s) for s in spans]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[1:],
                     pa.array([len(w) for w in split], pa.int64()),
                     pa.array([sum(b - a for a, b in s) for s in joined], pa.int64()),
                     pa.array([sorted(i) for i in items], pa.list_(pa.string())),
                     pa.array([[{"first": a, "past": b} for a, b in s] for s in joined], pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))),
                 ],
-                names=[id_col, "n_words", "n_hit", "items", "spans"],
+                names=[*keep, "n_words", "n_hit", "items", "spans"],
             )
 
-    pairs = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("__sl_text"))
-    return pairs.mapInArrow(search, f"`{id_col}` {id_type}, n_words long, n_hit long, items array<string>, spans array<struct<first: long, past: long>>")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    rows = docs.select(F.col(text_col).cast("binary").alias("__sl_text"), *keep)
+    return rows.mapInArrow(search, f"{kinds}, n_words long, n_hit long, items array<string>, spans array<struct<first: long, past: long>>")
 
 
 def contaminated(n_hit="n_hit", n_words="n_words", share: int = SHARE):

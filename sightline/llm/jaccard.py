@@ -230,7 +230,7 @@ def _scan(rows: DataFrame, n: int, similarity, id_type: str) -> DataFrame:
 
     def scan(batches):
         shingles = shingler(n)
-        names = ["kind", "doc_id", "size", "node", "key", "sketch", "signature", "n"]
+        names = ["kind", "doc_id", "text_hash", "size", "node", "key", "sketch", "signature", "n"]
         for batch in batches:
             sizes, nodes, keys, sketches, signed, owners, seen = [], [], [], [], [], [], set()
             for text in batch.column(1).to_pylist():
@@ -248,7 +248,7 @@ def _scan(rows: DataFrame, n: int, similarity, id_type: str) -> DataFrame:
                     signed.append(found)
                     owners.append(np.full(len(found), key, np.int64))
             k = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int8)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int8)), batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
             if signed:
                 all_signed, all_owners = np.concatenate(signed), np.concatenate(owners)
                 order = np.lexsort((all_owners, all_signed))
@@ -258,9 +258,9 @@ def _scan(rows: DataFrame, n: int, similarity, id_type: str) -> DataFrame:
                 often = counts >= FREQUENT
                 k = int(often.sum())
                 if k:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.nulls(k, batch.column(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(all_owners[first[often]]), pa.nulls(k, pa.list_(pa.int64())), pa.array(all_signed[first[often]].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.nulls(k, batch.column(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(all_owners[first[often]]), pa.nulls(k, pa.list_(pa.int64())), pa.array(all_signed[first[often]].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=names)
 
-    return rows.mapInArrow(scan, f"kind tinyint, doc_id {id_type}, size long, node binary, key long, sketch array<long>, signature long, n long")
+    return rows.mapInArrow(scan, f"kind tinyint, doc_id {id_type}, text_hash long, size long, node binary, key long, sketch array<long>, signature long, n long")
 
 
 def _emit(rows: DataFrame, n: int, similarity, frequent, buckets: int) -> DataFrame:
@@ -397,7 +397,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_shingles, component_id`` for every row of ``docs``.
+    """``id_col, n_shingles, component_id, text_hash`` for every row of ``docs``.
 
     ``component_id`` is the least id reachable through links.  A text with fewer than
     ``ngram`` words is one shingle; null and blank texts have none and are linked with
@@ -408,14 +408,14 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: tuple[int,
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    scanned = materialize(_scan(texts, ngram, similarity, id_type), "jaccard-scan")
+    scanned = materialize(_scan(texts.withColumn("text_hash", F.xxhash64("text")), ngram, similarity, id_type), "jaccard-scan")
     counted = scanned.where("kind = 1").groupBy("signature").agg(F.sum("n").alias("n"), F.min("key").alias("pivot"))
     top = counted.orderBy(F.desc("n"), "signature").limit(FREQUENT_KEPT).toPandas()
     frequent = sc.broadcast((top["signature"].to_numpy(np.int64).view(_U), top["n"].to_numpy(np.int64), top["pivot"].to_numpy(np.int64)))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-size // BUCKET_BYTES))
     found = materialize(_pairs(_emit(texts.select("text"), ngram, similarity, frequent, int(buckets))), "jaccard-pairs")
-    own = scanned.where("kind = 0").select("doc_id", "size", "node", "key", "sketch")
+    own = scanned.where("kind = 0").select("doc_id", "text_hash", "size", "node", "key", "sketch")
     nodes = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("key").alias("key"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "jaccard-nodes")
     pairs = found.where("kind = 0").select("a", "b").distinct()
@@ -439,9 +439,20 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: tuple[int,
     reach = nodes.select("node", "doc_id").join(labels, "node")
     least = reach.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = nodes.select("node", F.col("doc_id").alias("own")).join(labels, "node", "left").join(least, "label", "left").select("node", F.coalesce("component_id", "own").alias("component_id"))
-    out = own.select("doc_id", "size", "node").join(of_node, "node", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = own.select("doc_id", "text_hash", "size", "node").join(of_node, "node", "left")
+    return out.select(F.col("doc_id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash")
+
+
+def one_per_group(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is their component's; a repeated row (same id and text) stays once.
+
+    ``groups`` is what ``near_duplicates`` returns for ``docs``.
+    """
+    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__sl_id"), F.col("text_hash").alias("__sl_kept")).distinct()
+    rows = docs.withColumn("__sl_hash", F.xxhash64(F.col(text_col).cast("binary")))
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__sl_id")) & (F.col("__sl_hash") == F.col("__sl_kept")), "left_semi")
+    return rows.dropDuplicates([id_col, "__sl_hash"]).drop("__sl_hash")
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).drop("text_hash")

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import curriculum, decontaminate, jaccard, shards, tiff, token_store
+from . import curriculum, decontaminate, jaccard, quality, shards, tiff, token_store, toxicity
+
+
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
@@ -11,10 +17,13 @@ def queries() -> dict:
         "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op3_wu_manber": decontaminate.op3_wu_manber,
         "op5_token_store": token_store.op5_token_store,
+        "op6_additive_model": quality.op6_additive_model,
         "op7_histogram_sort": shards.op7_histogram_sort,
+        "op9_kneser_ney": toxicity.op9_kneser_ney,
         "op10_curriculum_mix": curriculum.op10_curriculum_mix,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_wu_manber": decontaminate.ORACLE}
+    return {"op3_wu_manber": decontaminate.ORACLE, "op10_curriculum_mix": curriculum.ORACLE}
