@@ -1,0 +1,200 @@
+"""Model inference at the edges: detect faces in frames, embed detections, crop pixels.
+
+Detectors and embedders are handed in as factories, called once per Python worker
+process and closed when a task's iterator ends.  No model is bundled.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Protocol
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.geometry import letterbox, map_box, map_landmarks
+from ..functions.vectors import normalized
+
+DETECTION_SCHEMA = "video_id string, frame_index bigint, ts double, frame_width int, frame_height int, face array<double>"
+
+
+@dataclass(frozen=True)
+class DetectorSettings:
+    input_size: tuple[int, int] = (640, 640)
+    confidence_threshold: float = 0.6
+    nms_threshold: float = 0.3
+    top_k: int = 5000
+
+    def __post_init__(self):
+        if min(self.input_size) <= 0:
+            raise ValueError("input_size must contain positive width and height")
+
+
+class Detector(Protocol):
+    def detect(self, bgr: np.ndarray, settings: DetectorSettings) -> np.ndarray | None:
+        """Rows of 15 numbers (x, y, w, h, five points, confidence) in the letterboxed frame."""
+
+    def close(self) -> None: ...
+
+
+class Embedder(Protocol):
+    def embed(self, bgr: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The raw feature of the face described by a model row."""
+
+    def close(self) -> None: ...
+
+
+def as_rgb(image: dict | None) -> np.ndarray | None:
+    """Pixels of an image struct, or None unless it has three channels at least."""
+    if image is None or image["data"] is None or (image["channels"] or 0) < 3:
+        return None
+    return np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["channels"])
+
+
+def nearest_resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Nearest-neighbour resize; a detector that wants another filter resizes by itself."""
+    rows = np.minimum((np.arange(height) * image.shape[0]) // height, image.shape[0] - 1)
+    columns = np.minimum((np.arange(width) * image.shape[1]) // width, image.shape[1] - 1)
+    return image[rows][:, columns]
+
+
+def letterboxed(image: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    h, w = image.shape[:2]
+    scale = min(size[0] / w, size[1] / h)
+    rw, rh = max(1, round(w * scale)), max(1, round(h * scale))
+    canvas = np.zeros((size[1], size[0], 3), image.dtype)
+    x, y = (size[0] - rw) // 2, (size[1] - rh) // 2
+    canvas[y : y + rh, x : x + rw] = nearest_resize(image, rw, rh)
+    return canvas
+
+
+def detect_faces(frames: DataFrame, factory: Callable[[], Detector], settings: DetectorSettings | None = None) -> DataFrame:
+    """Detections of every frame: box and landmarks in source pixels, most confident first.
+
+    The threshold is given to the model and checked again on its rows; frames without
+    three channels have no detections.
+    """
+    settings = settings or DetectorSettings()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = factory()
+        try:
+            for batch in batches:
+                rows = []
+                for r in batch.itertuples():
+                    rgb = as_rgb(r.image)
+                    found = None if rgb is None else model.detect(letterboxed(rgb[:, :, 2::-1], settings.input_size), settings)
+                    rows += [(r.video_id, r.frame_index, r.ts, rgb.shape[1], rgb.shape[0], [float(v) for v in face]) for face in (found if found is not None else ())]
+                yield pd.DataFrame(rows, columns=["video_id", "frame_index", "ts", "frame_width", "frame_height", "face"])
+        finally:
+            model.close()
+
+    faces = frames.select("video_id", "frame_index", "ts", "image").mapInPandas(run, DETECTION_SCHEMA)
+    return place_detections(faces, settings)
+
+
+def place_detections(faces: DataFrame, settings: DetectorSettings | None = None) -> DataFrame:
+    """Model rows mapped back to source pixels, filtered and numbered within each frame."""
+    from pyspark.sql import Window
+
+    settings = settings or DetectorSettings()
+    at = lambda k: F.get("face", F.lit(k))
+    rows = faces.withColumn("confidence", at(14)).where(F.col("confidence") >= F.lit(settings.confidence_threshold))
+    rows = rows.withColumn("__fit", letterbox(F.col("frame_width"), F.col("frame_height"), *settings.input_size))
+    box = map_box(at(0), at(1), at(2), at(3), F.col("__fit"), F.col("frame_width"), F.col("frame_height"))
+    rows = rows.withColumns({"box": box, "landmarks": map_landmarks(F.col("face"), F.col("__fit"))}).where(F.col("box").isNotNull())
+    order = Window.partitionBy("video_id", "frame_index").orderBy(F.col("confidence").desc(), "face")
+    return rows.withColumn("det_index", (F.row_number().over(order) - 1).cast("int")).drop("__fit", "face")
+
+
+def embed_detections(frames: DataFrame, detections: DataFrame, factory: Callable[[], Embedder]) -> DataFrame:
+    """Detections with a unit ``embedding``; those that can't be embedded are left out."""
+    from ..functions.geometry import model_row
+
+    rows = detections.withColumn("__row", model_row(F.col("box"), F.col("landmarks"), F.col("confidence")))
+    rows = rows.join(frames.select("video_id", "frame_index", "image"), ["video_id", "frame_index"])
+    keep = [c for c in rows.columns if c not in ("__row", "image")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = factory()
+        try:
+            for batch in batches:
+                out = []
+                for image, row in zip(batch["image"], batch["__row"]):
+                    rgb = as_rgb(image)
+                    try:
+                        out.append(None if rgb is None or row is None else np.asarray(model.embed(rgb[:, :, 2::-1], np.asarray(row, np.float32)[None]), np.float32))
+                    except ValueError:
+                        out.append(None)
+                yield batch[keep].assign(__raw=out)
+        finally:
+            model.close()
+
+    schema = rows.select(*keep).schema
+    raw = rows.mapInPandas(run, schema.add("__raw", "array<float>"))
+    length = F.aggregate("__raw", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return raw.where(F.col("__raw").isNotNull() & (length > 0)).withColumn("embedding", normalized(F.col("__raw"))).drop("__raw")
+
+
+@F.pandas_udf("struct<height: int, width: int, channels: int, data: binary>")
+def crop_pixels(image: pd.DataFrame, box: pd.DataFrame) -> pd.DataFrame:
+    """The pixels of a crop box; null for images without three channels."""
+    out = []
+    for i, b in zip(image.to_dict("records"), box.to_dict("records")):
+        rgb = as_rgb(i)
+        cut = None if rgb is None else np.ascontiguousarray(rgb[b["y_min"] : b["y_max"], b["x_min"] : b["x_max"]])
+        out.append({"height": None, "width": None, "channels": None, "data": None} if cut is None else {"height": cut.shape[0], "width": cut.shape[1], "channels": cut.shape[2], "data": cut.tobytes()})
+    return pd.DataFrame(out, columns=["height", "width", "channels", "data"])
+
+
+def thumbnail(crop: np.ndarray, size: tuple[int, int] = (192, 192)) -> np.ndarray:
+    """The crop fitted into ``size`` (width, height), centred on black."""
+    if crop is None or crop.ndim != 3 or crop.shape[2] < 3:
+        raise ValueError("the crop must be an RGB image with three channels")
+    if min(size) <= 0:
+        raise ValueError("thumbnail size must be positive")
+    return letterboxed(crop, size)
+
+
+def montage(tiles: list[np.ndarray], columns: int = 4, padding: int = 12, label: int = 56, background: tuple[int, int, int] = (24, 24, 24)) -> np.ndarray:
+    """Thumbnails in a grid with room for labels; one blank cell without tiles."""
+    if columns <= 0:
+        raise ValueError("columns must be greater than 0")
+    side = 192
+    high, wide = side + label + 2 * padding, side + 2 * padding
+    rows = max(1, -(-len(tiles) // columns))
+    out = np.full((rows * high, (columns if tiles else 1) * wide, 3), background, np.uint8)
+    for k, tile in enumerate(tiles):
+        y, x = k // columns * high + padding, k % columns * wide + padding
+        out[y : y + side, x : x + side] = tile[:, :, :3]
+        frame = out[y : y + side, x : x + side]
+        frame[0], frame[-1], frame[:, 0], frame[:, -1] = ((80, 80, 80),) * 4
+    return out
+
+
+def write_ppm(image: np.ndarray, path: str) -> None:
+    """Save a montage on the driver; the plain format needs no image library."""
+    with open(path, "wb") as f:
+        f.write(f"P6 {image.shape[1]} {image.shape[0]} 255\n".encode() + np.ascontiguousarray(image[:, :, :3]).tobytes())
+
+
+def annotate_frames(frames: DataFrame, detections: DataFrame, thickness: int = 5) -> DataFrame:
+    """Frames with at least one detection, its boxes outlined in red, and a file name."""
+    boxes = detections.groupBy("video_id", "frame_index").agg(F.collect_list("box").alias("boxes"))
+    rows = frames.join(boxes, ["video_id", "frame_index"])
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                rgb = np.array(as_rgb(r.image))
+                for b in r.boxes:
+                    x0, y0, x1, y1 = (int(b[e]) for e in ("x_min", "y_min", "x_max", "y_max"))
+                    for t in range(thickness):
+                        rgb[y0 + t : y0 + t + 1, x0 : x1 + 1] = rgb[max(0, y1 - t) : y1 - t + 1, x0 : x1 + 1] = (255, 0, 0)
+                        rgb[y0 : y1 + 1, x0 + t : x0 + t + 1] = rgb[y0 : y1 + 1, max(0, x1 - t) : x1 - t + 1] = (255, 0, 0)
+                yield pd.DataFrame({"video_id": [r.video_id], "name": [f"frame_{r.frame_index:04d}_ts_{r.ts:.2f}"], "image": [{"height": rgb.shape[0], "width": rgb.shape[1], "channels": 3, "data": rgb.tobytes()}]})
+
+    return rows.select("video_id", "frame_index", "ts", "image", "boxes").mapInPandas(draw, "video_id string, name string, image struct<height: int, width: int, channels: int, data: binary>")

@@ -1 +1 @@
-
+"""Streaming twins of the timeline and the tracker."""
