@@ -76,24 +76,22 @@ def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, lab
     return docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id")
 
 
-class WordHashes:
+class WordHashes(dict):
     """64-bit hashes of words, kept in a bounded table per Python worker."""
 
-    def __init__(self, bound: int = 500_000):
+    def __init__(self, bound: int = 300_000):
         import xxhash
 
-        self.hash, self.bound, self.known = xxhash.xxh3_64_intdigest, bound, {}
+        super().__init__()
+        self.digest, self.bound = xxhash.xxh3_64_digest, bound
 
-    def __call__(self, words):
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = self.digest(word)
+        return found
+
+    def __call__(self, words: list[bytes]):
         import numpy as np
 
-        known = self.known
-        try:
-            return np.array([known[w] for w in words], np.uint64)
-        except KeyError:
-            if len(known) > self.bound:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.hash(w)
-            return np.array([known[w] for w in words], np.uint64)
+        if len(self) > self.bound:
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64)
