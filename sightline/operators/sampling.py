@@ -8,6 +8,8 @@ far are ``i + min(1, running minimum of (need - i))``.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +41,6 @@ def sample_frames(frames: DataFrame, interval: float = 1.0, keys: list[str] | No
 
 def _thresholds_below(rows: DataFrame, interval: float, ts: str) -> DataFrame:
     """``__need`` from the repeated sum 0, s, s + s, ...: one pass in Python per batch of times."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("bigint")
     def need(times: pd.Series) -> pd.Series:
         top = float(times.max()) if len(times) else 0.0
