@@ -12,7 +12,7 @@ broadcast each, so a benchmark of any size is searched whole in bounded memory.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -131,9 +131,9 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int):
 _MATCHERS: dict = {}
 
 
-def _matcher(block, window: int) -> Matcher:
-    """Built once per Python worker and block; one is kept at a time when there are many."""
-    key = (block._jid if hasattr(block, "_jid") else id(block), window)
+def _matcher(name: str, block, window: int) -> Matcher:
+    """Built once per Python worker and block; few are kept at a time when there are many."""
+    key = (name, window)
     if key not in _MATCHERS:
         if len(_MATCHERS) >= 2:
             _MATCHERS.clear()
@@ -150,7 +150,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     Names in ``keep`` that clash with the four result columns are an error.
     """
     spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, text_col, block_words)]
+    # Workers live on between queries: a block's name must be its own.
+    blocks = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in _blocks(benchmark, item_col, text_col, block_words)]
     keep = keep or [id_col]
     if clash := {"n_words", "n_hit", "items", "spans"} & set(keep):
         raise ValueError(f"columns to keep clash with results: {sorted(clash)}")
@@ -161,8 +162,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             split = [words_of(t) for t in texts]
             spans: list[list] = [[] for _ in split]
             items: list[set] = [set() for _ in split]
-            for block in blocks:
-                m = _matcher(block, window)
+            for name, block in blocks:
+                m = _matcher(name, block, window)
                 for k, words in enumerate(split):
                     if words:
                         s, i = m.find(words)

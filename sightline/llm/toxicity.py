@@ -234,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     shared = spark.sparkContext.broadcast(model)
     held = labelled_sample(spark, docs, labels, label, calibration, (4,))
     rows = _features(held.select("doc_id", "text", "label"), shared, ["label"]).toPandas()
-    x = np.array(rows["__sl_x"].tolist(), float).reshape(len(rows), -1)
+    x = np.array(rows["__sl_x"].tolist(), float).reshape(len(rows), FEATURES)
     return shared, Calibration(x, (rows["label"].to_numpy(float) > 0).astype(float))
 
 
