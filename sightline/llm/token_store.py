@@ -22,7 +22,7 @@ from .common import documents, scratch_path
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 LAYOUT = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
@@ -36,6 +36,10 @@ LAYOUT = {
     "parquet.enable.dictionary#start_in_part": "false",
 }
 
+#: A control character, its own word to the tokenizer; pieces that hold it are encoded singly.
+MARK = "\x01"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
 _ENCODERS: dict = {}
 
 
@@ -54,10 +58,57 @@ class Encoder:
         self.end = np.array([end_id], "<i4").tobytes()
         self.whole = whole
         self.known: dict[str, bytes] = {}
+        # The mark must be one id of its own that leaves its neighbours as they are; else pieces are encoded singly.
+        mark = self._flat(MARK)
+        self.mark_id = mark[0] if len(mark) == 1 and self._flat(f"a {MARK} b") == self._flat("a") + mark + self._flat("b") else None
+
+        # Lower-case ASCII words pass the normalizer unchanged, so a tokenizer without it gives the same ids.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        plain = "the quick\x01 (brown) fox's a1b2 ?!x"
+        self.simple = self._flat(plain.upper()) == self._flat(plain) == self._flat(plain, self.bare) and self._flat("Fox?!") == self._flat("fox") + self._flat("?!")
+
+    def _flat(self, text: str, tokenizer=None) -> list[int]:
+        return (tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str], tokenizer=None) -> None:
+        """Encode distinct pieces as one text with a mark between them, and cut the ids at the mark's."""
+        plain = [p for p in pieces if MARK not in p] if self.mark_id is not None else []
+        if plain:
+            ids = np.array(self._flat(f" {MARK} ".join(plain), tokenizer), "<i4")
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * 4
+            data, at, known = ids.tobytes(), 0, self.known
+            for piece, end in zip(plain, ends.tolist(), strict=True):
+                known[piece] = data[at:end]
+                at = end + 4
+        rest = [p for p in pieces if MARK in p] if self.mark_id is not None else pieces
+        self.known.update(zip(rest, self._ids(rest)))
+
+    def _meet(self, pieces: set[str]) -> None:
+        """Learn new pieces.  An ASCII word and the punctuation after it are learnt apart and case-folded."""
+        known, parts, rest, joined = self.known, set(), [], []
+        for p in pieces:
+            if self.simple and p.isascii():
+                core = p.rstrip(PUNCTUATION)
+                if core.isalpha():
+                    word, tail = core.lower(), p[len(core) :]
+                    parts.add(word)
+                    if word != p:
+                        joined.append((p, word, tail))
+                        if tail:
+                            parts.add(tail)
+                    continue
+            rest.append(p)
+        for todo, tokenizer in ((list(parts.difference(known)), self.bare), (rest, None)):
+            for at in range(0, len(todo), 2000):
+                self._learn(todo[at : at + 2000], tokenizer)
+        known[""] = b""
+        for p, word, tail in joined:
+            known[p] = known[word] + known[tail]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if self.whole:
             return [x + self.end for x in self._ids([t or "" for t in texts])]
@@ -65,9 +116,7 @@ class Encoder:
         known = self.known
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        new = list({p for pieces in split for p in pieces if p not in known})
-        for at in range(0, len(new), 10_000):
-            known.update(zip(new[at : at + 10_000], self._ids(new[at : at + 10_000])))
+        self._meet(set().union(*split).difference(known))
         return [b"".join([known[p] for p in pieces]) + self.end for pieces in split]
 
 
