@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import letterbox, map_box, map_landmarks
 from ..functions.vectors import normalized
@@ -134,12 +135,15 @@ def embed_detections(frames: DataFrame, detections: DataFrame, factory: Callable
             model.close()
 
     schema = rows.select(*keep).schema
-    raw = rows.mapInPandas(run, schema.add("__raw", "array<float>"))
+    raw = rows.mapInPandas(run, schema.add("__raw", T.ArrayType(T.FloatType())))
     length = F.aggregate("__raw", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return raw.where(F.col("__raw").isNotNull() & (length > 0)).withColumn("embedding", normalized(F.col("__raw"))).drop("__raw")
 
 
-@F.pandas_udf("struct<height: int, width: int, channels: int, data: binary>")
+IMAGE = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("data", T.BinaryType())])
+
+
+@F.pandas_udf(IMAGE)
 def crop_pixels(image: pd.DataFrame, box: pd.DataFrame) -> pd.DataFrame:
     """The pixels of a crop box; null for images without three channels."""
     out = []
