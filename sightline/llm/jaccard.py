@@ -18,9 +18,10 @@ the same order, so the first match in that order is always kept by both.
 Frequent signatures are counted in a first pass over all documents.  In the second
 pass they pair each holder with one pivot on the spot, so that no task gathers them;
 rare ones meet in hash buckets.  Candidates are cut by an exact bound from parity
-bitmaps, then verified on the token sets.  Where a large group did not fall into one
-component around its pivot, its other members are compared with all members outside
-their component, so no link between components is lost.
+bitmaps, then verified on the token sets.  Large groups around one pivot make a family;
+where it did not fall into one component, all its pairs across components are put to
+the same bound, in blocks of fixed size, and what passes is verified too, so no link
+between components is lost.
 
 Sets are named by 128-bit digests; tokens are compared as 64-bit hashes.
 """
@@ -36,18 +37,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import WordHashes, documents, materialize
 
 NGRAM = 5
 SIMILARITY = (3, 4)
-#: A signature is frequent if a batch holds it this often; the most frequent ones are kept.
+#: A signature is frequent if a pack of documents holds it this often; the most frequent ones are kept.
 FREQUENT = 4
 FREQUENT_KEPT = 1 << 17
 #: Groups up to this size are paired in full at once.
 SMALL_GROUP = 6
 BUCKET_BYTES = 12 << 20
-SKETCH_WORDS = 8
-WORD_CACHE = 500_000
+#: A worker packs so many signatures at a time.
+HELD_SIGNATURES = 1 << 20
+#: Fewest 64-bit words of a parity bitmap; it has 2 to 4 bits a token.
+SKETCH_WORDS = 16
+#: Members of a family compared at a time, on either side.
+FAMILY_BLOCK = 4096
+#: Up to this many wanted texts are found by a broadcast bitmap of 16 bits each (32 MB), more by a join.
+BITMAP_ITEMS = 1 << 24
 
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -65,31 +72,27 @@ class Shingler:
     """Sorted distinct 64-bit hashes of the n-word shingles of a text."""
 
     def __init__(self, n: int = NGRAM):
-        import xxhash
-
-        self.n, self.hash, self.known = n, xxhash.xxh3_64_intdigest, {}
-        self.odd = [_U(int(o) * (2 * k + 1) & (1 << 64) - 1) for k, o in zip(range(n), (_ODD * n)[:n])]
+        self.n, self.words = n, WordHashes()
+        self.odd = [int(_ODD[k % 6]) * (2 * k + 1) & (1 << 64) - 1 for k in range(n)]
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = text.lower().split() if text else []
         if not words:
             return np.empty(0, _U)
-        known = self.known
-        try:
-            ids = np.array([known[w] for w in words], _U)
-        except KeyError:
-            if len(known) > WORD_CACHE:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.hash(w)
-            ids = np.array([known[w] for w in words], _U)
+        ids = self.words(words)
         n = min(self.n, len(ids))
         count = len(ids) - n + 1
-        sums = np.full(count, n * int(_ODD[5]) & (1 << 64) - 1, _U)
-        for k in range(n):
-            sums += mixed(ids[k : k + count], k + 1) * self.odd[k]
-        return np.unique(mixed(sums))
+        sums = ids[:count] * _U(self.odd[0])
+        for k in range(1, n):
+            sums += ids[k : k + count] * _U(self.odd[k])
+        tokens = mixed(sums, n)
+        tokens.sort()
+        if count > 1:
+            fresh = np.empty(count, bool)
+            fresh[0] = True
+            np.not_equal(tokens[1:], tokens[:-1], out=fresh[1:])
+            tokens = tokens[fresh]
+        return tokens
 
 
 @dataclass(frozen=True)
@@ -107,24 +110,28 @@ class Scheme:
         return 2 * self.fused + self.exact
 
 
+def class_of(n: int) -> int:
+    """Size classes: 1, 2-3, 4-5, 6-7, then one per power of two."""
+    return n.bit_length() if n <= 5 else n.bit_length() + 1
+
+
 def allocate(number: int, similarity=SIMILARITY) -> Scheme:
-    """The cheaper mix of exact units and one-deletion segments for a size class.
+    """Exact units or one-deletion segments for a size class, whichever is cheaper.
 
     The model's constants steer cost alone: ``shared`` is the chance that a token of
-    such a set also occurs in an unrelated one (short texts are more formulaic), and
-    a chance collision costs ``100`` signatures.  Any result of it is exact.
+    such a set also occurs in an unrelated one (short texts are more formulaic), a
+    chance collision costs ``100`` signatures, and the choice among units is worth a
+    quarter token.  Any result of it is exact.
     """
     num, den = similarity
-    lo, hi = 1 << (number - 1), (1 << number) - 1
+    lo, hi = [(1, 1), (2, 3), (4, 5), (6, 7)][number - 1] if number < 5 else (1 << (number - 2), (1 << (number - 1)) - 1)
     most = 2 * hi * (den - num) // (den + num)
     units = most + 1 + -(-(most + 1) * 15 // 100) * (most > 0)
-    shared, tokens = 0.2 + 0.3 * math.exp(-hi / 32), 0.75 * hi / units
-    kept = tokens + 0.5
-    two_exact = 2 * (1 + 100 * shared**kept)
-    one_fused = 1 + 2 * tokens + 100 * (shared ** (2 * tokens) + 2 * tokens * shared ** (2 * tokens - 1))
-    if most and one_fused < two_exact:
-        return Scheme(number, lo, hi, (most + 2) // 2, 0)
-    return Scheme(number, lo, hi, 0, units)
+    fused = (most + 2) // 2
+    shared, tokens, whole = 0.2 + 0.3 * math.exp(-hi / 32), 0.75 * hi / units, 0.75 * hi / fused
+    by_exact = (most + 1) * (1 + 100 * shared ** (tokens + 0.25))
+    by_fused = fused * (1 + whole + 100 * (shared**whole + whole * shared ** (whole - 1)))
+    return Scheme(number, lo, hi, fused, 0) if most and by_fused < by_exact else Scheme(number, lo, hi, 0, units)
 
 
 _SCHEMES: dict = {}
@@ -139,41 +146,56 @@ def scheme(number: int, similarity) -> Scheme:
 def schemes_of(n: int, similarity) -> list[tuple[Scheme, int]]:
     """The schemes a set of ``n`` tokens signs, with the most differences of its pairs there."""
     num, den = similarity
-    own, top = scheme(n.bit_length(), similarity), n * den // num
+    own, top = scheme(class_of(n), similarity), n * den // num
     out = [(own, (n + min(own.hi, top)) * (den - num) // (den + num))]
     if top > own.hi:
-        out.append((scheme(n.bit_length() + 1, similarity), (n + top) * (den - num) // (den + num)))
+        out.append((scheme(class_of(n) + 1, similarity), (n + top) * (den - num) // (den + num)))
     return out
 
 
-def units_of(tokens: np.ndarray, s: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit starts in the sorted tokens, running sums of token digests, the digests."""
-    edges = (np.arange(s.units + 1, dtype=np.float64) * (2.0**64 / s.units))
-    edges = np.minimum(edges, 2.0**64 - 4096).astype(_U)
-    starts = np.searchsorted(tokens, edges)
-    starts[-1] = len(tokens)
-    digests = mixed(tokens, 77)
-    sums = np.zeros(len(tokens) + 1, _U)
-    np.cumsum(digests, out=sums[1:])
-    return starts, sums, digests
+_FRAMES: dict = {}
+
 
+def frame_of(s: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit edges in the hash range, and a salt for each exact unit and fused segment."""
+    if s not in _FRAMES:
+        edges = np.array([(k << 64) // s.units for k in range(s.units)], _U)
+        exact = mixed(np.arange(s.exact, dtype=_U) + _U(s.number << 32), 5)
+        fused = mixed(np.arange(s.fused, dtype=_U) + _U(s.number << 32 | 1 << 31), 5)
+        _FRAMES[s] = edges, exact, fused
+    return _FRAMES[s]
 
-def exact_signatures(tokens: np.ndarray, s: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """Signature and token count of each exact unit."""
-    starts, sums, _ = units_of(tokens, s)
-    starts = starts[2 * s.fused :]
-    place = np.arange(s.exact, dtype=_U) + _U(s.number << 32)
-    return mixed(sums[starts[1:]] - sums[starts[:-1]] + mixed(place, 5)), np.diff(starts)
 
+def signatures_of(tokens: np.ndarray, similarity, frequent: "Frequent | None") -> np.ndarray:
+    """All signatures of a set; with ``frequent`` None also the units it may leave out.
 
-def fused_signatures(tokens: np.ndarray, s: Scheme) -> np.ndarray:
-    """Each fused segment and all its one-deletion neighbours."""
-    starts, sums, digests = units_of(tokens, s)
-    starts = starts[: 2 * s.fused + 1 : 2]
-    whole = sums[starts[1:]] - sums[starts[:-1]]
-    place = mixed(np.arange(s.fused, dtype=_U) + _U(s.number << 32 | 1 << 31), 5)
-    segment = np.repeat(np.arange(s.fused), np.diff(starts))
-    return np.concatenate((mixed(whole + place), mixed(whole[segment] - digests[: len(segment)] + place[segment])))
+    An exact unit has one; a fused segment has its own and those of all its
+    one-deletion neighbours.  Tokens are sorted, so units are stretches of them.
+    """
+    out = []
+    digests = mixed(tokens, 77)
+    sums = np.zeros(len(tokens) + 1, _U)
+    np.cumsum(digests, out=sums[1:])
+    for s, most in schemes_of(len(tokens), similarity):
+        edges, exact_salt, fused_salt = frame_of(s)
+        starts = np.append(np.searchsorted(tokens, edges), len(tokens))
+        at_start = sums[starts]
+        if s.fused:
+            cut = starts[: 2 * s.fused + 1 : 2]
+            whole = at_start[2 : 2 * s.fused + 1 : 2] - at_start[: 2 * s.fused : 2] + fused_salt
+            segment = np.repeat(np.arange(s.fused), np.diff(cut))
+            out.append(mixed(np.concatenate((whole, whole[segment] - digests[: len(segment)]))))
+        keep = most + 1 - 2 * s.fused
+        if s.exact and keep > 0:
+            first = 2 * s.fused
+            found = mixed(at_start[first + 1 :] - at_start[first:-1] + exact_salt)
+            if frequent is not None and keep < len(found):
+                # Rarest first, then the units with most tokens: the same order on both sides of a match.
+                sizes = np.minimum(np.diff(starts[first:]), 1023)
+                rank = frequent.count_of(found).astype(_U) << _U(34) | (1023 - sizes).astype(_U) << _U(24) | found >> _U(40)
+                found = found[np.argpartition(rank, keep - 1)[:keep]]
+            out.append(found)
+    return np.concatenate(out) if out else np.empty(0, _U)
 
 
 class Frequent:
@@ -181,31 +203,26 @@ class Frequent:
 
     def __init__(self, signatures: np.ndarray, counts: np.ndarray, pivots: np.ndarray):
         order = np.argsort(signatures)
-        self.signatures, self.counts, self.pivots = signatures[order], counts[order], pivots[order]
+        self.signatures, self.counts, self.pivots = signatures[order], np.minimum(counts[order], (1 << 30) - 1), pivots[order]
+
+        # A first look by 20 leading bits spares most searches.
+        self.leading = np.zeros(1 << 20, bool)
+        self.leading[(self.signatures >> _U(44)).astype(np.int64)] = True
 
     def find(self, signatures: np.ndarray) -> np.ndarray:
         """Place in the table, or -1."""
-        if not len(self.signatures):
-            return np.full(len(signatures), -1)
-        at = np.minimum(np.searchsorted(self.signatures, signatures), len(self.signatures) - 1)
-        return np.where(self.signatures[at] == signatures, at, -1)
+        out = np.full(len(signatures), -1)
+        if len(self.signatures):
+            maybe = np.flatnonzero(self.leading[(signatures >> _U(44)).astype(np.int64)])
+            if len(maybe):
+                at = np.minimum(np.searchsorted(self.signatures, signatures[maybe]), len(self.signatures) - 1)
+                same = self.signatures[at] == signatures[maybe]
+                out[maybe[same]] = at[same]
+        return out
 
-
-def signatures_of(tokens: np.ndarray, similarity, frequent: Frequent | None) -> np.ndarray:
-    """All signatures of a set; with ``frequent`` None also the units it may leave out."""
-    out = []
-    for s, most in schemes_of(len(tokens), similarity):
-        if s.fused:
-            out.append(fused_signatures(tokens, s))
-        keep = most + 1 - 2 * s.fused
-        if s.exact and keep > 0:
-            found, sizes = exact_signatures(tokens, s)
-            if frequent is not None and keep < len(found):
-                at = frequent.find(found)
-                often = np.where(at >= 0, frequent.counts[at], 0) if len(frequent.counts) else np.zeros(len(found), np.int64)
-                found = found[np.lexsort((found, -sizes, often))[:keep]]
-            out.append(found)
-    return np.concatenate(out) if out else np.empty(0, _U)
+    def count_of(self, signatures: np.ndarray) -> np.ndarray:
+        at = self.find(signatures)
+        return np.where(at >= 0, self.counts[at], 0) if len(self.counts) else np.zeros(len(at), np.int64)
 
 
 def node_of(tokens: np.ndarray) -> bytes:
@@ -213,9 +230,16 @@ def node_of(tokens: np.ndarray) -> bytes:
 
 
 def sketch_of(tokens: np.ndarray) -> list[int]:
-    """512 parity bits: two sets differ in at least as many tokens as bits."""
-    bits = np.bincount((mixed(tokens, 99) >> _U(55)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+    """Parity bits, a power of two of them: two sets differ in at least as many tokens as bits."""
+    bits = max(64 * SKETCH_WORDS, 1 << (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((mixed(tokens, 99) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def halved(sketch: np.ndarray) -> np.ndarray:
+    """The bitmap of half as many bits: parities of the same hashes under the shorter mask."""
+    half = sketch.shape[-1] // 2
+    return sketch[..., :half] ^ sketch[..., half:]
 
 
 _SHINGLERS: dict = {}
@@ -226,75 +250,102 @@ def shingler(n: int) -> Shingler:
 
 
 def _scan(rows: DataFrame, n: int, similarity, id_type: str) -> DataFrame:
-    """First pass: every document's set (kind 0) and each batch's frequent signatures (kind 1)."""
+    """First pass: every document's set (kind 0) and each pack's frequent signatures (kind 1)."""
+
+    names = ["kind", "doc_id", "text_hash", "size", "node", "key", "sketch", "signature", "n"]
+
+    def often(signed, owners, id_kind):
+        signatures, keys = np.concatenate(signed), np.concatenate(owners)
+        order = np.argsort(signatures)
+        signatures, keys = signatures[order], keys[order]
+        first = np.flatnonzero(np.concatenate(([True], signatures[1:] != signatures[:-1])))
+        counts = np.diff(np.append(first, len(signatures)))
+        many = counts >= FREQUENT
+        k = int(many.sum())
+        blank = [pa.nulls(k, id_kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())]
+        found = [pa.array(np.minimum.reduceat(keys, first)[many]), pa.nulls(k, pa.list_(pa.int64())), pa.array(signatures[first[many]].view(np.int64)), pa.array(counts[many].astype(np.int64))]
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), *blank, *found], names=names)
 
     def scan(batches):
         shingles = shingler(n)
-        names = ["kind", "doc_id", "text_hash", "size", "node", "key", "sketch", "signature", "n"]
+        signed, owners, held, seen = [], [], 0, set()
         for batch in batches:
-            sizes, nodes, keys, sketches, signed, owners, seen = [], [], [], [], [], [], set()
-            for text in batch.column(1).to_pylist():
-                tokens = shingles(text)
-                sizes.append(len(tokens))
-                if not len(tokens):
-                    nodes.append(None), keys.append(None), sketches.append(None)
-                    continue
-                node = node_of(tokens)
-                key = int.from_bytes(node[:8], "little", signed=True)
-                nodes.append(node), keys.append(key), sketches.append(sketch_of(tokens))
-                if key not in seen:
-                    seen.add(key)
-                    found = signatures_of(tokens, similarity, None)
-                    signed.append(found)
-                    owners.append(np.full(len(found), key, np.int64))
-            k = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int8)), batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
-            if signed:
-                all_signed, all_owners = np.concatenate(signed), np.concatenate(owners)
-                order = np.lexsort((all_owners, all_signed))
-                all_signed, all_owners = all_signed[order], all_owners[order]
-                first = np.flatnonzero(np.concatenate(([True], all_signed[1:] != all_signed[:-1])))
-                counts = np.diff(np.append(first, len(all_signed)))
-                often = counts >= FREQUENT
-                k = int(often.sum())
-                if k:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.nulls(k, batch.column(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(all_owners[first[often]]), pa.nulls(k, pa.list_(pa.int64())), pa.array(all_signed[first[often]].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=names)
+            for at in range(0, batch.num_rows, 512):
+                piece = batch.slice(at, 512)
+                sizes, nodes, keys, sketches = [], [], [], []
+                for text in piece.column(1).to_pylist():
+                    tokens = shingles(text)
+                    sizes.append(len(tokens))
+                    if not len(tokens):
+                        nodes.append(None), keys.append(None), sketches.append(None)
+                        continue
+                    node = node_of(tokens)
+                    key = int.from_bytes(node[:8], "little", signed=True)
+                    nodes.append(node), keys.append(key), sketches.append(sketch_of(tokens))
+                    if key not in seen:
+                        seen.add(key)
+                        found = signatures_of(tokens, similarity, None)
+                        signed.append(found)
+                        owners.append(np.full(len(found), key, np.int64))
+                        held += len(found)
+                k = len(sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int8)), piece.column(0), piece.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
+                if held >= HELD_SIGNATURES:
+                    yield often(signed, owners, batch.column(0).type)
+                    signed, owners, held, seen = [], [], 0, set()
+        if held:
+            yield often(signed, owners, batch.column(0).type)
 
     return rows.mapInArrow(scan, f"kind tinyint, doc_id {id_type}, text_hash long, size long, node binary, key long, sketch array<long>, signature long, n long")
 
 
+def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    return ((x >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+
+
 def _emit(rows: DataFrame, n: int, similarity, frequent, buckets: int) -> DataFrame:
     """Second pass: signatures packed by bucket; frequent ones already paired with their pivot."""
 
+    def packed(signed, owners, table):
+        sig, own = np.concatenate(signed), np.concatenate(owners)
+        at = table.find(sig)
+        hot = at >= 0
+        # Rare signatures meet by signature, so sorting them sorts the buckets; frequent ones are spread by owner.
+        cold_sig, cold_own = sig[~hot], own[~hot]
+        order = np.argsort(cold_sig)
+        cold_sig, cold_own = cold_sig[order], cold_own[order]
+        hot_sig, hot_own, hot_pivot = sig[hot], own[hot], table.pivots[at[hot]] if hot.any() else np.empty(0, np.int64)
+        place = _bucket(mixed(hot_own.view(_U)), buckets)
+        order = np.argsort(place, kind="stable")
+        hot_sig, hot_own, hot_pivot = hot_sig[order], hot_own[order], hot_pivot[order]
+        cold_place, hot_place = _bucket(cold_sig, buckets), place[order]
+        used = np.unique(np.concatenate((cold_place, hot_place)))
+        ends = [np.searchsorted(x, used, side=side).tolist() for x in (cold_place, hot_place) for side in ("left", "right")]
+        out = []
+        for k, a, b, c, d in zip(used.tolist(), *ends):
+            out.append((k, cold_sig[a:b].tobytes() + hot_sig[c:d].tobytes(), cold_own[a:b].tobytes() + hot_own[c:d].tobytes(), hot_pivot[c:d].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "signatures", "owners", "pivots"])
+
     def emit(batches):
         shingles, table = shingler(n), Frequent(*frequent.value)
+        signed, owners, held, seen = [], [], 0, set()
         for batch in batches:
-            signed, owners, seen = [], [], set()
-            for text in batch.column(0).to_pylist():
-                tokens = shingles(text)
-                if len(tokens):
-                    key = int.from_bytes(node_of(tokens)[:8], "little", signed=True)
-                    if key not in seen:
-                        seen.add(key)
-                        found = signatures_of(tokens, similarity, table)
-                        signed.append(found)
-                        owners.append(np.full(len(found), key, np.int64))
-            if not signed:
-                continue
-            sig, own = np.concatenate(signed), np.concatenate(owners)
-            at = table.find(sig)
-            hot = at >= 0
-            pivot = table.pivots[at] if len(table.pivots) else np.zeros(len(sig), np.int64)
-            # Rare signatures meet by signature; frequent ones are spread by owner.
-            place = ((np.where(hot, mixed(own.view(_U)), sig) >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-            order = np.lexsort((sig, hot, place))
-            sig, own, pivot, place, hot = sig[order], own[order], pivot[order], place[order], hot[order]
-            cuts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
-            out = []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                h = a + int(np.searchsorted(hot[a:b], True))
-                out.append((int(place[a]), sig[a:b].tobytes(), own[a:b].tobytes(), pivot[h:b].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "signatures", "owners", "pivots"])
+            for at in range(0, batch.num_rows, 512):
+                for text in batch.column(0).slice(at, 512).to_pylist():
+                    tokens = shingles(text)
+                    if len(tokens):
+                        key = int.from_bytes(node_of(tokens)[:8], "little", signed=True)
+                        if key not in seen:
+                            seen.add(key)
+                            found = signatures_of(tokens, similarity, table)
+                            signed.append(found)
+                            owners.append(np.full(len(found), key, np.int64))
+                            held += len(found)
+                if held >= HELD_SIGNATURES:
+                    yield packed(signed, owners, table)
+                    signed, owners, held, seen = [], [], 0, set()
+        if held:
+            yield packed(signed, owners, table)
 
     return rows.mapInArrow(emit, "bucket int, signatures binary, owners binary, pivots binary")
 
@@ -315,8 +366,15 @@ def _pairs(packed: DataFrame) -> DataFrame:
         left, right = [np.minimum(own[hot], pivot)], [np.maximum(own[hot], pivot)]
         members = [(sig[hot].view(np.int64), own[hot])]
         sig, own = sig[~hot], own[~hot]
-        order = np.lexsort((own, sig))
+        order = np.argsort(sig)
         sig, own = sig[order], own[order]
+        if len(sig):
+            # Few signatures repeat: only those need their owners in order.
+            twice = np.concatenate((sig[1:] == sig[:-1], [False]))
+            twice[1:] |= twice[:-1].copy()
+            sig, own = sig[twice], own[twice]
+            order = np.lexsort((own, sig))
+            sig, own = sig[order], own[order]
         if len(sig):
             fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])))
             sig, own = sig[fresh], own[fresh]
@@ -344,27 +402,101 @@ def _pairs(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(group, "kind tinyint, a long, b long")
 
 
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``text`` of the rows whose id is wanted, and maybe of a few others; texts aren't shuffled."""
+    hashed = wanted.select(F.xxhash64("doc_id").alias("h")).distinct()
+    count = hashed.count()
+    if count > BITMAP_ITEMS:
+        return texts.join(wanted.distinct(), "doc_id", "left_semi").select("text")
+    bits = max(16, (16 * count).bit_length())
+    place = F.shiftrightunsigned("h", 64 - bits)
+    words = hashed.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("m")).toPandas()
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def chosen(batches):
+        held = shared.value.view(_U)
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False).view(_U) >> _U(64 - bits)
+            mask = (held[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1)
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(mask.astype(bool)))], names=["text"])
+
+    return texts.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(chosen, "text binary")
+
+
+def _family_pairs(members: DataFrame, similarity) -> DataFrame:
+    """Pairs (a < b) of each family, across labels, that the exact bounds let pass.
+
+    ``members``: ``family, key, label, size, sketch``.  Families are cut into blocks, and
+    each task compares two blocks, so memory doesn't grow with a family.
+    """
+    num, den = similarity
+    blocks = members.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
+    rows = members.join(blocks, "family").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", "label", "size", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        mine = table.column("mine").to_numpy()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        key, size = table.column("key").to_numpy(), table.column("size").to_numpy()
+        _, label = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)
+        rows_of, place, sketch = {}, np.zeros(len(key), np.int64), table.column("sketch").to_pylist()
+        lengths = np.array([len(x) for x in sketch])
+        for n in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == n)
+            place[at] = np.arange(len(at))
+            rows_of[n] = np.array([sketch[k] for k in at], np.int64).view(_U)
+        folded = {n: halved(m) for n, m in rows_of.items() if n > SKETCH_WORDS}
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        out = [np.empty((0, 2), np.int64)]
+        for a in left:
+            near = right[(label[right] != label[a]) & ((key[right] > key[a]) if i == j else True)]
+            near = near[np.minimum(size[near], size[a]) * den >= np.maximum(size[near], size[a]) * num]
+            n = int(lengths[a])
+            # Sizes within the similarity differ by less than a factor of two, so do bitmaps by one halving at most.
+            for m in (n // 2, n, 2 * n):
+                b = near[lengths[near] == m]
+                if len(b):
+                    short = min(n, m)
+                    own = (rows_of if n == short else folded)[n][place[a]]
+                    apart = np.bitwise_count((rows_of if m == short else folded)[m][place[b]] ^ own).sum(axis=1, dtype=np.int64)
+                    b = b[apart * (den + num) <= (size[b] + size[a]) * (den - num)]
+                    out.append(np.stack((np.minimum(key[b], key[a]), np.maximum(key[b], key[a])), axis=1))
+        pairs = np.concatenate(out)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return rows.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, similarity) -> DataFrame:
     """The pairs (keys a, b) that reach the similarity, as node digests u, v."""
     num, den = similarity
     one = nodes.select(*(F.col(c).alias(f"{c}_a") for c in ("key", "node", "size", "sketch", "doc_id")))
     two = nodes.select(*(F.col(c).alias(f"{c}_b") for c in ("key", "node", "size", "sketch", "doc_id")))
     met = pairs.join(one, F.col("a") == F.col("key_a")).join(two, F.col("b") == F.col("key_b"))
-    apart = sum((F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(1, SKETCH_WORDS)), F.bit_count(F.get("sketch_a", F.lit(0)).bitwiseXOR(F.get("sketch_b", F.lit(0)))))
+    half = lambda c: F.zip_with(F.slice(c, F.lit(1), (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+    one_sketch = F.when(F.size("sketch_a") > F.size("sketch_b"), half(F.col("sketch_a"))).otherwise(F.col("sketch_a"))
+    two_sketch = F.when(F.size("sketch_b") > F.size("sketch_a"), half(F.col("sketch_b"))).otherwise(F.col("sketch_b"))
+    apart = F.aggregate(F.zip_with(one_sketch, two_sketch, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     both = F.col("size_a") + F.col("size_b")
-    met = met.where((F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num) & (apart * (den + num) <= both * (den - num)))
-    met = materialize(met.select("node_a", "node_b", "size_a", "size_b", "doc_id_a", "doc_id_b"), "jaccard-candidates")
+    met = met.where(F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num)
+    met = met.where(apart * (den + num) <= both * (den - num))
+    met = materialize(met.select("node_a", "node_b", "doc_id_a", "doc_id_b"), "jaccard-candidates")
     wanted = met.select(F.col("doc_id_a").alias("doc_id"), F.col("node_a").alias("node")).union(met.select("doc_id_b", "node_b")).distinct()
 
     def tokens(batches):
         shingles = shingler(n)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingles(t).tobytes() for t in piece.column(1).to_pylist()], pa.binary())], names=["node", "tokens"])
+                found = [shingles(t) for t in batch.column(0).slice(at, 256).to_pylist()]
+                found = [x for x in found if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "tokens"])
 
-    # A doc_id can repeat with other texts; the digest says which text is meant.
-    sets = texts.join(wanted, "doc_id").select("node", "text").mapInArrow(tokens, "node binary, tokens binary")
+    # The id finds the text; its digest says whether it is the one meant, as ids may repeat.
+    sets = _texts_of(texts, wanted.select("doc_id")).mapInArrow(tokens, "node binary, tokens binary")
+    sets = materialize(sets.join(wanted.select("node").distinct(), "node", "left_semi"), "jaccard-sets").dropDuplicates(["node"])
 
     def verify(batches):
         for batch in batches:
@@ -425,12 +557,11 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: tuple[int,
     where = nodes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
     held = found.where("kind = 1").select(F.col("a").alias("signature"), F.col("b").alias("key")).distinct().join(where, "key")
     held = materialize(held, "jaccard-groups")
-    open_ = held.groupBy("signature").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("signature")
-    held = held.join(open_, "signature")
-    main = held.groupBy("signature", "label").agg(F.count("*").alias("n")).groupBy("signature").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    minor = held.join(main, "signature").where("label <> main").select("signature", F.col("key").alias("a"), F.col("label").alias("la"))
-    cross = minor.join(held.select("signature", F.col("key").alias("b"), F.col("label").alias("lb")), "signature").where("la <> lb")
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    lead = held.groupBy("signature").agg(F.min("key").alias("family"))
+    members = held.join(lead, "signature").select("family", "key", "label").distinct()
+    open_ = members.groupBy("family").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("family")
+    members = members.join(open_, "family").join(nodes.select("key", "size", "sketch"), "key")
+    cross = _family_pairs(members, similarity).join(pairs, ["a", "b"], "left_anti")
     cross = materialize(cross, "jaccard-cross")
     if not cross.isEmpty():
         more = materialize(_links(cross, nodes, texts, ngram, similarity), "jaccard-links")
