@@ -10,6 +10,7 @@ documents or only for metadata skip the other pages (``read_tokens``).
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,9 @@ LAYOUT = {
 
 #: A control character, its own word to the tokenizer; pieces that hold it are encoded singly.
 MARK = "\x01"
+#: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _ENCODERS: dict = {}
@@ -62,23 +66,28 @@ class Encoder:
         mark = self._flat(MARK)
         self.mark_id = mark[0] if len(mark) == 1 and self._flat(f"a {MARK} b") == self._flat("a") + mark + self._flat("b") else None
 
-        # Lower-case ASCII words pass the normalizer unchanged, so a tokenizer without it gives the same ids.
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = None
-        plain = "the quick\x01 (brown) fox's a1b2 ?!x"
-        self.simple = self._flat(plain.upper()) == self._flat(plain) == self._flat(plain, self.bare) and self._flat("Fox?!") == self._flat("fox") + self._flat("?!")
+        # A lower-case Latin word, and a run of ASCII punctuation, is one pre-token of the byte-level splitter: the
+        # model alone gives its ids.  The samples say whether that holds for this file.
+        self.model = self.tokenizer.model
+        samples = {"The": "the", "quick": "quick", "ÉTÉ": "été", "straße": "straße", "ñandú": "ñandú", "?!": "?!", "###": "###", "'": "'", "ª": "ª", "µ": "µ"}
+        self.simple = all(self._flat(text) == self._single(word) for text, word in samples.items()) and self._flat("Fox?!") == self._flat("fox") + self._flat("?!")
 
-    def _flat(self, text: str, tokenizer=None) -> list[int]:
-        return (tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def _single(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_LEVEL)
+        return [t.id for t in self.model.tokenize(word)]
+
+    def _flat(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str], tokenizer=None) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Encode distinct pieces as one text with a mark between them, and cut the ids at the mark's."""
         plain = [p for p in pieces if MARK not in p] if self.mark_id is not None else []
         if plain:
-            ids = np.array(self._flat(f" {MARK} ".join(plain), tokenizer), "<i4")
+            ids = np.array(self._flat(f" {MARK} ".join(plain)), "<i4")
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * 4
             data, at, known = ids.tobytes(), 0, self.known
             for piece, end in zip(plain, ends.tolist(), strict=True):
@@ -88,26 +97,26 @@ class Encoder:
         self.known.update(zip(rest, self._ids(rest)))
 
     def _meet(self, pieces: set[str]) -> None:
-        """Learn new pieces.  An ASCII word and the punctuation after it are learnt apart and case-folded."""
-        known, parts, rest, joined = self.known, set(), [], []
+        """Learn new pieces.  A Latin word and the punctuation after it are learnt apart and case-folded."""
+        known, rest = self.known, []
         for p in pieces:
-            if self.simple and p.isascii():
+            if self.simple and (p.isascii() or max(p) < "\u0100"):
                 core = p.rstrip(PUNCTUATION)
                 if core.isalpha():
                     word, tail = core.lower(), p[len(core) :]
-                    parts.add(word)
-                    if word != p:
-                        joined.append((p, word, tail))
-                        if tail:
-                            parts.add(tail)
+                    found = known.get(word)
+                    if found is None:
+                        found = known[word] = array("i", self._single(word)).tobytes()
+                    if tail:
+                        after = known.get(tail)
+                        if after is None:
+                            after = known[tail] = array("i", self._single(tail)).tobytes()
+                        found += after
+                    known[p] = found
                     continue
             rest.append(p)
-        for todo, tokenizer in ((list(parts.difference(known)), self.bare), (rest, None)):
-            for at in range(0, len(todo), 2000):
-                self._learn(todo[at : at + 2000], tokenizer)
-        known[""] = b""
-        for p, word, tail in joined:
-            known[p] = known[word] + known[tail]
+        for at in range(0, len(rest), 2000):
+            self._learn(rest[at : at + 2000])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if self.whole:
