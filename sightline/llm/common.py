@@ -79,7 +79,7 @@ def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, lab
 class WordHashes(dict):
     """64-bit hashes of words, kept in a bounded table per Python worker."""
 
-    def __init__(self, bound: int = 300_000):
+    def __init__(self, bound: int = 100_000):
         import xxhash
 
         super().__init__()

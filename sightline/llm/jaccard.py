@@ -47,8 +47,9 @@ FREQUENT_KEPT = 1 << 17
 #: Groups up to this size are paired in full at once.
 SMALL_GROUP = 6
 BUCKET_BYTES = 12 << 20
-#: A worker packs so many signatures at a time.
+#: A worker counts, and packs, so many signatures at a time.
 HELD_SIGNATURES = 1 << 20
+PACKED_SIGNATURES = 1 << 18
 #: Fewest 64-bit words of a parity bitmap; it has 2 to 4 bits a token.
 SKETCH_WORDS = 16
 #: Members of a family compared at a time, on either side.
@@ -341,7 +342,7 @@ def _emit(rows: DataFrame, n: int, similarity, frequent, buckets: int) -> DataFr
                             signed.append(found)
                             owners.append(np.full(len(found), key, np.int64))
                             held += len(found)
-                if held >= HELD_SIGNATURES:
+                if held >= PACKED_SIGNATURES:
                     yield packed(signed, owners, table)
                     signed, owners, held, seen = [], [], 0, set()
         if held:
