@@ -65,7 +65,7 @@ def corpus():
 @pytest.mark.parametrize("blocks", [None, 7])
 def test_join_equals_all_pairs(spark, monkeypatch, blocks):
     if blocks:  # tiny limits take every path: frequent signatures, large groups, blocks of a family, joins for texts
-        for name, value in (("SMALL_GROUP", 2), ("FAMILY_BLOCK", blocks), ("HELD_SIGNATURES", 500), ("BITMAP_ITEMS", 1)):
+        for name, value in (("SMALL_GROUP", 2), ("FAMILY_BLOCK", blocks), ("HELD_SIGNATURES", 500), ("PACKED_SIGNATURES", 500), ("BITMAP_ITEMS", 1)):
             monkeypatch.setattr(jaccard, name, value)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "x", 5) for i, t in rows], "doc_id long, text string, node string, component_id int").repartition(5)
