@@ -10,9 +10,11 @@ is the length-normalised difference of its two log-likelihoods, over the whole t
 over its most toxic stretches and over its most toxic words, turned into a probability
 by a logistic fit on a fold that the counts don't include.
 
-The shared counts cover all documents: per word bucket a bitmap of hashed preceding
-words, merged with OR, counted linearly.  Class counts come from at most
-``SAMPLE`` labelled documents.  Every table has a fixed size.
+The shared counts cover all documents and are exact: distinct (preceding word, word)
+pairs of 64-bit hashes, packed by slices of words and counted a slice at a time, so they
+grow with the corpus.  A word that keeps no count in either class has the same backoff in
+both and its shared count cancels out; the driver gets the counts of the other words and
+the total of all.  Class counts come from at most ``SAMPLE`` labelled documents.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from .decontaminate import words_of
 
 SAMPLE = 20_000
 CALIBRATION = 6_000
-WORD_BITS = 18
-MAP_WORDS = 4
+#: Tokens and distinct words a worker gathers before it packs their pairs, and bytes of input a slice.
+GATHERED = (1 << 22, 400_000)
+SLICE_BYTES = 8 << 20
 BIGRAMS_KEPT = 1 << 19
 #: Of words and of bigrams, in contexts.
 DISCOUNTS = (2.0, 6.0)
@@ -48,105 +51,184 @@ def hashes() -> WordHashes:
     return _HASHES[0]
 
 
-def word_buckets(words: np.ndarray) -> np.ndarray:
-    return (words >> _U(64 - WORD_BITS)).astype(np.int64)
+def pair_keys(lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
+    x = lefts * _U(0x9E3779B97F4A7C15) ^ rights
+    x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> _U(32))
 
 
 def bigram_keys(words: np.ndarray) -> np.ndarray:
-    x = words[:-1] * _U(0x9E3779B97F4A7C15) ^ words[1:]
-    x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-    return x ^ (x >> _U(32))
+    return pair_keys(words[:-1], words[1:])
+
+
+class WordNumbers(dict):
+    """Numbers of words in order of appearance; 0 stands for the start of a text."""
+
+    def __init__(self):
+        super().__init__({None: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self)
+        return found
+
+    def hashes(self) -> np.ndarray:
+        import xxhash
+
+        return np.frombuffer(bytes(8) + b"".join(map(xxhash.xxh3_64_digest, list(self)[1:])), np.uint64)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted; for large arrays sorting is faster than numpy's hash table."""
+    x = np.sort(x)
+    return x[np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1]))]
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side, which compress better."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def slice_bits(docs: DataFrame) -> int:
+    """Of the word hash, so that slices are of like size whatever the input's size; steers cost only."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max((size // SLICE_BYTES).bit_length(), 4), 12)
 
 
 def shared_contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``bucket, m0..m3``: bitmaps of the hashed words before each word bucket, over all rows."""
+    """``word, n``: how many distinct words (or the start) precede each word, over all rows."""
+    shift = _U(64 - slice_bits(docs.select(text_col)))
+
+    def packed(numbers, words, before):
+        found = numbers.hashes()
+        order = np.argsort(found, kind="stable")
+        rank = np.empty(len(found), np.uint64)
+        rank[order] = np.arange(len(found), dtype=np.uint64)
+        sorted_hashes = found[order]
+        codes = distinct(rank[np.concatenate(words)] << _U(32) | rank[np.concatenate(before)])
+        word, prev = (codes >> _U(32)).astype(np.int64), (codes & _U(0xFFFFFFFF)).astype(np.int64)
+        part = (sorted_hashes[word] >> shift).astype(np.int32)
+        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+        columns = [[] for _ in range(5)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            w, starts = np.unique(word[lo:hi], return_index=True)
+            used = np.zeros(len(found), bool)
+            used[prev[lo:hi]] = True
+            place = np.cumsum(used, dtype=np.uint32)[prev[lo:hi]] - np.uint32(1)
+            steps = np.concatenate((place[:1], np.diff(place)))
+            steps[starts] = place[starts]
+            sizes = np.diff(np.append(starts, hi - lo)).astype(np.uint32)
+            for column, x in zip(columns, (int(part[lo]), pack(sorted_hashes[w]), pack(sizes), pack(sorted_hashes[used]), pack(steps))):
+                column.append(x)
+        for at in range(0, len(columns[0]), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0][at : at + 256], pa.int32()), *(pa.array(c[at : at + 256], pa.binary()) for c in columns[1:])], names=["part", "words", "sizes", "prevs", "steps"])
 
     def scan(batches):
-        hashed = hashes()
+        numbers, words, before, tokens = WordNumbers(), [], [], 0
         for batch in batches:
-            codes = []
             for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                if words:
-                    h = hashed(words)
-                    before = np.empty_like(h)
-                    before[0], before[1:] = 0, h[:-1]
-                    codes.append(word_buckets(h) << 8 | (before & _U(255)).astype(np.int64))
-            if not codes:
-                continue
-            codes = np.unique(np.concatenate(codes))
-            at, bit = codes >> 6, _U(1) << (codes & 63).astype(_U)
-            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            maps = np.zeros((1 << WORD_BITS, MAP_WORDS), _U)
-            maps.reshape(-1)[at[first]] = np.add.reduceat(bit, first)
-            used = np.flatnonzero(maps.any(axis=1))
-            found = maps[used].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(found[:, k]) for k in range(MAP_WORDS))], names=["bucket", *(f"m{k}" for k in range(MAP_WORDS))])
-
-    maps = [f"m{k}" for k in range(MAP_WORDS)]
-    rows = docs.select(F.col(text_col).cast("binary")).mapInArrow(scan, "bucket int, " + ", ".join(f"{m} long" for m in maps))
-    return rows.groupBy("bucket").agg(*(F.bit_or(m).alias(m) for m in maps))
+                found = words_of(text)
+                if not found:
+                    continue
+                ids = np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found))
+                words.append(ids), before.append(np.concatenate((np.zeros(1, np.uint32), ids[:-1])))
+                tokens += len(ids)
+                if tokens >= GATHERED[0] or len(numbers) >= GATHERED[1]:
+                    yield from packed(numbers, words, before)
+                    numbers, words, before, tokens = WordNumbers(), [], [], 0
+        if words:
+            yield from packed(numbers, words, before)
+
+    def count(table):
+        words, prevs = ([unpack(x, np.uint64) for x in table.column(k).to_pylist()] for k in ("words", "prevs"))
+        all_words, all_prevs = distinct(np.concatenate(words)), distinct(np.concatenate(prevs))
+        kept, waiting, held = np.empty(0, np.uint64), [], 0
+        for k, (w, p) in enumerate(zip(words, prevs)):
+            sizes, steps = unpack(table.column("sizes")[k].as_py(), np.uint32).astype(np.int64), unpack(table.column("steps")[k].as_py(), np.uint32)
+            run = np.cumsum(steps, dtype=np.int64)
+            starts = np.cumsum(sizes) - sizes
+            place = run - np.repeat(run[starts] - steps[starts], sizes)
+            waiting.append(np.repeat(np.searchsorted(all_words, w).astype(np.uint64) << _U(32), sizes) | np.searchsorted(all_prevs, p).astype(np.uint64)[place])
+            held += len(place)
+            if held >= max(GATHERED[0], len(kept)) or k == len(words) - 1:
+                kept, waiting, held = distinct(np.concatenate((kept, *waiting))), [], 0
+        n = np.bincount((kept >> _U(32)).astype(np.int64), minlength=len(all_words))
+        return pa.table({"word": pa.array(all_words.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    rows = docs.select(F.col(text_col).cast("binary")).mapInArrow(scan, "part int, words binary, sizes binary, prevs binary, steps binary")
+    return rows.groupBy("part").applyInArrow(count, "word long, n long")
 
 
 def class_counts(sample: DataFrame) -> DataFrame:
-    """Continuation counts of bigrams by class, of labelled ``text, label`` rows."""
+    """Continuation counts of bigrams ``w0, w1`` by class, of labelled ``text, label`` rows."""
 
     def scan(batches):
         hashed = hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 piece = batch.slice(at, 2000)
-                wholes, keys, lefts, rights, labels = [], [], [], [], []
+                befores, lefts, rights, labels = [], [], [], []
                 for text, label in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                     words = words_of(text)
                     if words:
                         h = np.concatenate((np.zeros(2, _U), hashed(words)))
-                        b, k = word_buckets(h), bigram_keys(h)
-                        wholes.append(bigram_keys(np.stack((h[:-2], k[1:]), axis=1).reshape(-1))[::2])
-                        keys.append(k[1:]), lefts.append(b[1:-1]), rights.append(b[2:]), labels.append(np.full(len(words), label > 0, np.int64))
-                if not keys:
+                        befores.append(h[:-2]), lefts.append(h[1:-1]), rights.append(h[2:]), labels.append(np.full(len(words), 1 + (label > 0), np.int8))
+                if not lefts:
                     continue
-                wholes, keys, lefts, rights, labels = map(np.concatenate, (wholes, keys, lefts, rights, labels))
-                order = np.argsort(wholes, kind="stable")
-                first = np.flatnonzero(np.concatenate(([True], np.diff(wholes[order]) != 0)))
-                toxic, ordinary = np.maximum.reduceat(labels[order], first), np.maximum.reduceat(1 - labels[order], first)
-                one = order[first]
-                yield pa.RecordBatch.from_arrays([pa.array(wholes[one].view(np.int64)), pa.array(keys[one].view(np.int64)), pa.array(lefts[one].astype(np.int32)), pa.array(rights[one].astype(np.int32)), pa.array(toxic), pa.array(ordinary)], names=["whole", "key", "w0", "w1", "toxic", "ordinary"])
+                befores, lefts, rights, labels = map(np.concatenate, (befores, lefts, rights, labels))
+                order = np.lexsort((befores, rights, lefts))
+                befores, lefts, rights = befores[order], lefts[order], rights[order]
+                first = np.flatnonzero(np.concatenate(([True], (befores[1:] != befores[:-1]) | (lefts[1:] != lefts[:-1]) | (rights[1:] != rights[:-1]))))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[first].view(np.int64)) for x in (befores, lefts, rights)), pa.array(np.bitwise_or.reduceat(labels[order], first))], names=["before", "w0", "w1", "classes"])
 
-    rows = sample.select(F.col("text").cast("binary"), (F.col("label") > 0).cast("int").alias("label")).mapInArrow(scan, "whole long, key long, w0 int, w1 int, toxic long, ordinary long")
-    once = rows.groupBy("whole", "key", "w0", "w1").agg(F.max("toxic").alias("toxic"), F.max("ordinary").alias("ordinary"))
-    return once.groupBy("key", "w0", "w1").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    rows = sample.select(F.col("text").cast("binary"), (F.col("label") > 0).cast("int").alias("label")).mapInArrow(scan, "before long, w0 long, w1 long, classes byte")
+    # One exchange serves both steps.
+    once = rows.repartition("w0", "w1").groupBy("w0", "w1", "before").agg(F.bit_or("classes").alias("classes"))
+    return once.groupBy("w0", "w1").agg(F.count_if(F.col("classes").bitwiseAND(2) > 0).alias("toxic"), F.count_if(F.col("classes").bitwiseAND(1) > 0).alias("ordinary"))
 
 
 class KneserNey:
-    """Both class models as fixed-size tables; index 0 ordinary, 1 toxic."""
+    """Both class models over the words that keep a count; index 0 ordinary, 1 toxic.
 
-    def __init__(self, contexts, words, lefts, bigrams):
-        size = 1 << WORD_BITS
-        preceded = np.full(size, 0.5)
-        preceded[contexts[0]] += contexts[1]
-        shared = preceded / preceded.sum()
+    The last place of each table stands for all other words.
+    """
+
+    def __init__(self, vocabulary, preceded, pairs, words, totals, lefts, bigrams):
+        self.words = vocabulary
+        size = len(vocabulary) + 1
+        shared = np.append(preceded, 1.0) / max(pairs, 1.0)
         self.unigram = np.zeros((2, size), np.float32)
         for c in (0, 1):
             n = np.zeros(size)
-            n[words[0]] = words[1 + c]
-            total, types = max(n.sum(), 1.0), (n > 0).sum()
+            n[self.places(words[0])] = words[1 + c]
+            total = max(totals[c], 1.0)
             kept = np.maximum(n - DISCOUNTS[0], 0)
             left = 1.0 - kept.sum() / total
             self.unigram[c] = kept / total + left * shared
         # Of a context: its count and the mass its discounts free.
         self.count, self.freed = np.zeros((2, size), np.float32), np.zeros((2, size), np.float32)
         for c in (0, 1):
-            self.count[c][lefts[0]] = lefts[1 + 2 * c]
-            self.freed[c][lefts[0]] = lefts[2 + 2 * c]
+            at = self.places(lefts[0])
+            self.count[c][at] = lefts[1 + 2 * c]
+            self.freed[c][at] = lefts[2 + 2 * c]
         order = np.argsort(bigrams[0])
         self.keys = bigrams[0][order]
         self.seen = np.stack([b[order] for b in bigrams[1:]]).astype(np.float32)
 
+    def places(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.searchsorted(self.words, words)
+        return np.where(self.words[np.minimum(at, len(self.words) - 1)] == words, at, len(self.words))
+
     def evidence(self, words: np.ndarray) -> np.ndarray:
         """Toxic minus ordinary log-probability of each word (64-bit hashes) after the one before."""
         h = np.concatenate((np.zeros(1, _U), words))
-        b, keys = word_buckets(h), bigram_keys(h)
+        b, keys = self.places(h), bigram_keys(h)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             hit = self.keys[at] == keys
@@ -209,27 +291,36 @@ class Calibration:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, calibration: int = CALIBRATION):
     """Fit both models and the calibration; returns the broadcast pair."""
     spark = docs.sparkSession
-    # Bounded by the number of word buckets.
-    maps = shared_contexts(docs).toPandas()
-    bits = sum((np.bitwise_count(maps[f"m{k}"].to_numpy(np.int64).view(_U)).astype(np.float64) for k in range(MAP_WORDS)), np.zeros(len(maps)))
-    full = 64.0 * MAP_WORDS
-    contexts = (maps["bucket"].to_numpy(np.int64), -full * np.log(np.maximum(full - bits, 0.5) / full))
     counted = class_counts(labelled_sample(spark, docs, labels, label, sample, (1, 2, 3)))
     counted = counted.persist()
-    words = counted.groupBy(F.col("w1").alias("bucket")).agg(*(F.sum((F.col(c) > 0).cast("int")).alias(c) for c in ("ordinary", "toxic"))).toPandas()
     classes = ("ordinary", "toxic")
+    by_word = counted.groupBy(F.col("w1").alias("word")).agg(*(F.sum((F.col(c) > 0).cast("int")).alias(c) for c in classes))
+    totals = by_word.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in classes)).first()
+    # A word or context whose discount takes all it has in both classes is scored as if it were absent: its backoffs' ratio is the same.
+    words = by_word.where(F.greatest(*classes) > DISCOUNTS[0]).toArrow()
     sums = []
     for c in classes:
         n = F.col(c)
         sums += [F.sum(n).alias(f"n_{c}"), F.sum(F.least(n.cast("double"), F.lit(DISCOUNTS[1]))).alias(f"f_{c}")]
-    lefts = counted.groupBy("w0").agg(*sums).toPandas()
-    bigrams = counted.where(F.greatest("toxic", "ordinary") > DISCOUNTS[1]).orderBy(F.greatest("toxic", "ordinary").desc(), "key").limit(BIGRAMS_KEPT).select("key", *classes).toPandas()
+    lefts = counted.groupBy("w0").agg(*sums).where(" or ".join(f"n_{c} > f_{c}" for c in classes)).toArrow()
+    bigrams = counted.where(F.greatest("toxic", "ordinary") > DISCOUNTS[1]).orderBy(F.greatest("toxic", "ordinary").desc(), "w0", "w1").limit(BIGRAMS_KEPT).select("w0", "w1", *classes).toArrow()
+    keys = lambda t, c: t[c].to_numpy().view(_U)
+    vocabulary = np.unique(np.concatenate((keys(words, "word"), keys(lefts, "w0"))))
+    # Exact shared counts of the model's words; those of all others are summed up.
+    known = F.broadcast(spark.createDataFrame(pa.table({"word": vocabulary.view(np.int64)})).withColumn("known", F.lit(True)))
+    of_word = F.when(F.col("known"), F.col("word")).otherwise(F.lit(0)).alias("word")
+    counts = shared_contexts(docs).join(known, "word", "left").groupBy(of_word, F.isnotnull("known").alias("known")).agg(F.sum("n").alias("n")).toArrow()
     counted.unpersist()
+    seen, preceded = counts.filter(counts["known"]), np.zeros(len(vocabulary))
+    preceded[np.searchsorted(vocabulary, keys(seen, "word"))] = seen["n"].to_numpy()
     model = KneserNey(
-        contexts,
-        (words["bucket"].to_numpy(np.int64), words["ordinary"].to_numpy(float), words["toxic"].to_numpy(float)),
-        (lefts["w0"].to_numpy(np.int64), *(lefts[f"{k}_{c}"].to_numpy(float) for c in classes for k in ("n", "f"))),
-        (bigrams["key"].to_numpy(np.int64).view(_U), bigrams["ordinary"].to_numpy(float), bigrams["toxic"].to_numpy(float)),
+        vocabulary,
+        preceded,
+        float(counts["n"].to_numpy().sum()),
+        (keys(words, "word"), *(words[c].to_numpy().astype(float) for c in classes)),
+        [totals[c] for c in classes],
+        (keys(lefts, "w0"), *(lefts[f"{k}_{c}"].to_numpy().astype(float) for c in classes for k in ("n", "f"))),
+        (pair_keys(keys(bigrams, "w0"), keys(bigrams, "w1")), *(bigrams[c].to_numpy().astype(float) for c in classes)),
     )
     shared = spark.sparkContext.broadcast(model)
     held = labelled_sample(spark, docs, labels, label, calibration, (4,))

@@ -197,6 +197,24 @@ def test_classifiers_on_the_held_out_fold(spark, score, column, threshold):
     assert all(again[str(r.doc_id)] == pytest.approx(r.score, abs=1e-9) for r in rows)
 
 
+def test_shared_contexts_are_exact(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"p{rng.randrange(9000)} the" for _ in range(900)) + f" only{k} x" for k in range(12)] + [None, "", "the", "The the"]
+    preceding = defaultdict(set)
+    for text in texts:
+        before = None
+        for w in (text or "").lower().split():
+            preceding[w].add(before)
+            before = w
+    assert len(preceding["the"]) > 5000
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for some in (docs.repartition(5), docs.repartition(1)):
+        got = {r.word: r.n for r in toxicity.shared_contexts(some).collect()}
+        keys = dict(zip(preceding, toxicity.hashes()([w.encode() for w in preceding]).view(np.int64).tolist()))
+        assert got == {keys[w]: len(p) for w, p in preceding.items()}
+    assert toxicity.shared_contexts(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("score", [toxicity.toxicity_scores, quality.quality_scores])
 def test_classifiers_without_two_classes(spark, score):
     docs, table, _ = labelled(spark, 60)
