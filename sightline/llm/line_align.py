@@ -6,8 +6,10 @@ looked up by its hash, and its later holders are each paired with the first one,
 run in n documents makes n - 1 pairs, never all.  A pair's line hashes are aligned by
 patience diff: lines unique in both are anchors, their longest increasing chain is
 kept, and the gaps between anchors are aligned the same way.  Aligned blocks of
-``BLOCK_WORDS`` words or more are deleted from the later document; what is left is
-aligned again until no such block remains, so moved blocks are found too.
+``BLOCK_WORDS`` words or more are deleted from the later document, and what is left is
+aligned again.  A chain maximises lines, not words, so short lines can displace a moved
+block: where an alignment has no long block, the lines covered by any run that both
+documents hold are deleted instead, until they share none.
 
 Only hashes are exchanged for all this; texts are joined once, with the lines to drop.
 """
@@ -39,8 +41,8 @@ def line_table(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return hashes, words
 
 
-def run_hashes(hashes: np.ndarray, words: np.ndarray, least: int = BLOCK_WORDS) -> np.ndarray:
-    """A hash per line that starts a run of ``least`` words: of its shortest such run."""
+def runs_of(hashes: np.ndarray, words: np.ndarray, least: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line that starts a run of ``least`` words its shortest such run: start, end and hash."""
     total = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
     starts = np.flatnonzero(words > 0)
     ends = np.searchsorted(total, total[starts] + least)
@@ -54,7 +56,12 @@ def run_hashes(hashes: np.ndarray, words: np.ndarray, least: int = BLOCK_WORDS)
     inverse = np.power(np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)), place)
     x = (sums[ends] - sums[starts]) * inverse[starts]
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique((x ^ (x >> np.uint64(29))).view(np.int64))
+    return starts, ends, (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def run_hashes(hashes: np.ndarray, words: np.ndarray, least: int = BLOCK_WORDS) -> np.ndarray:
+    """A hash per line that starts a run of ``least`` words: of its shortest such run."""
+    return np.unique(runs_of(hashes, words, least)[2])
 
 
 def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -121,6 +128,19 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def shared_runs(a: np.ndarray, b: np.ndarray, words: np.ndarray, least: int) -> list[int]:
+    """Places in ``b`` covered by runs of ``least`` words that ``a`` holds too, wherever; no blank lines."""
+    sizes = dict(zip(b.tolist(), words.tolist()))
+    # A line that ``b`` lacks is in no shared run, whatever its size.
+    starts, ends, keys = runs_of(a, np.array([sizes.get(x, 1) for x in a.tolist()], np.int32), least)
+    held = {k: (i, i1) for i, i1, k in zip(starts.tolist(), ends.tolist(), keys.tolist())}
+    covered = np.zeros(len(b), bool)
+    for j, j1, k in zip(*(x.tolist() for x in runs_of(b, words, least))):
+        if k in held and np.array_equal(a[slice(*held[k])], b[j:j1]):
+            covered[j:j1] = True
+    return np.flatnonzero(covered).tolist()
+
+
 def common_lines(a: np.ndarray, b: np.ndarray, words: np.ndarray, least: int = BLOCK_WORDS) -> list[int]:
     """Lines of ``b`` in aligned blocks of ``least`` words or more; blank lines are passed over."""
     left, right = np.flatnonzero(a).tolist(), np.flatnonzero(b).tolist()
@@ -136,6 +156,9 @@ def common_lines(a: np.ndarray, b: np.ndarray, words: np.ndarray, least: int = B
                     used += [j for _, j in block]
                 block = []
             block.append(p)
+        if not found:
+            used = shared_runs(a[left], b[right], words[right], least)
+            found = [right[j] for j in used]
         if not found:
             break
         dropped += found

@@ -174,6 +174,30 @@ def test_patience_gives_a_common_subsequence(a, b):
         assert len(pairs) == len(a)
 
 
+def test_crossed_short_lines_do_not_hide_a_passage():
+    p, q, s, r = [[(k, 30), (k + 1, 30)] for k in (10, 20)] + [[(1, 2)], [(2, 3)]]
+    cases = [
+        ([(10, 60)] + s, s + [(10, 60)], [1]),
+        (p + s + r + [(3, 1)], s + r + [(3, 1)] + p, [3, 4]),  # three short lines outweigh two long ones
+        (p + s + q, q + s + p, [0, 1, 3, 4]),
+        (p + s + r, s + p[:1] + r + p[1:], []),  # the halves aren't neighbours
+        (p + s + p, s + p + s + p, [1, 2, 3, 4, 5]),
+    ]
+    for a, b, gone in cases:
+        hashes, other = (np.array([x for x, _ in side], np.int64) for side in (a, b))
+        assert line_align.common_lines(hashes, other, np.array([n for _, n in b], np.int32)) == gone
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 6), max_size=14), st.lists(st.integers(1, 6), max_size=14))
+def test_no_common_run_is_left(a, b):
+    size = lambda side: np.array([9 * x for x in side], np.int32)
+    gone = line_align.common_lines(np.array(a, np.int64), np.array(b, np.int64), size(b))
+    left = [x for k, x in enumerate(b) if k not in gone]
+    runs = [set(line_align.run_hashes(np.array(side, np.int64), size(side)).tolist()) for side in (a, left)]
+    assert not runs[0] & runs[1]
+
+
 def test_no_run_is_left_on_the_test_table(spark):
     out = line_align.dedup_lines(documents(spark, "/root/testdata/sf0.001").select("doc_id", "text")).orderBy("doc_id").collect()
     seen = {}
