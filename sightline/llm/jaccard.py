@@ -408,7 +408,8 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     hashed = wanted.select(F.xxhash64("doc_id").alias("h")).distinct()
     count = hashed.count()
     if count > BITMAP_ITEMS:
-        return texts.join(wanted.distinct(), "doc_id", "left_semi").select("text")
+        # By the hash, as the bitmap does: null ids are found too.
+        return texts.select(F.xxhash64("doc_id").alias("h"), "text").join(hashed, "h", "left_semi").select("text")
     bits = max(16, (16 * count).bit_length())
     place = F.shiftrightunsigned("h", 64 - bits)
     words = hashed.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("m")).toPandas()

@@ -84,6 +84,16 @@ def test_join_edges(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 9, None]
 
 
+@pytest.mark.parametrize("items", [0, 1 << 24])
+def test_null_ids_are_linked_at_every_size(spark, monkeypatch, items):
+    monkeypatch.setattr(jaccard, "BITMAP_ITEMS", items)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(words)), (7, " ".join([*words[:-1], "x"])), (8, "something else")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    labels = {r[0]: r[2] for r in got}
+    assert len(got) == 3 and labels[None] == labels[7] == 7 and labels[8] == 8
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 90), st.integers(0, 40), st.randoms(use_true_random=False))
 def test_similar_sets_share_a_signature(n, extra, rng):
