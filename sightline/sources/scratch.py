@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only in local mode."""
+    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
+
+    Where the setting is absent a temporary folder is made, but only in local
+    mode: on a cluster such a folder would be seen by one machine only.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
@@ -20,11 +24,35 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Written once as Parquet and read back: survives lost executors, cuts lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def _file_system(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    target, files = _file_system(spark, path)
+    files.deleteOnExit(target)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    The copy survives lost executors and cuts the lineage, so that iterative
+    steps neither recompute nor depend on one machine's disk.
+    """
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialized tables whose last reader is done, ahead of the JVM's end."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            target, files = _file_system(df.sparkSession, path)
+            files.delete(target, True)
