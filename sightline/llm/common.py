@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize, scratch_path, shared_dir  # noqa: F401
+
 #: Bytes that separate words wherever a contract says ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,40 +19,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
+#: Arrow batches between the JVM and Python workers: by bytes, as texts are of any length.
+BATCH_BYTES = 4 << 20
 
-    Where the setting is absent a temporary folder is made, but only in local
-    mode: on a cluster such a folder would be seen by one machine only.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="sightline-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    The copy survives lost executors and cuts the lineage, so that iterative
-    steps neither recompute nor depend on one machine's disk.
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by ``BATCH_BYTES`` unless it has its own lower bound.
+
+    The default of 10,000 rows is up to 64 MB of text a batch, held by both sides of
+    the pipe and copied as it grows.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give freed memory back to the system: an idle worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its memory
+        pass
 
 
 def hash62(*columns) -> "F.Column":

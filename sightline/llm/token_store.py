@@ -9,6 +9,7 @@ documents or only for metadata skip the other pages (``read_tokens``).
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 
@@ -18,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, scratch_path
+from .common import bounded_batches, documents, release, scratch_path
 
-ROW_GROUP_BYTES = 32 << 20
+ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 LAYOUT = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
@@ -47,30 +48,65 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENCODERS: dict = {}
 
 
+# The tokenizer settings under which a space parts a text.
+NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _parts(setting: dict | None, within: str) -> list[dict]:
+    """A setting's steps, of a sequence or alone."""
+    if setting is None:
+        return []
+    return setting[within] if setting["type"] == "Sequence" else [setting]
+
+
+def splits_at_spaces(settings: dict) -> bool:
+    """Whether a text's ids are those of its space-separated pieces in turn, by a tokenizer file's settings.
+
+    The normalizer may compose (NFC never joins across a space), fold white space and
+    lower-case code point by code point; the splitter has to be the word pattern that
+    drops white space, followed by the byte-level alphabet without a pattern of its own;
+    no id is added around a text or after truncation; added tokens neither hold a space
+    nor reach for the white space around them; the model is plain BPE without dropout.
+    """
+    model, normalizers, splitters = settings["model"], _parts(settings["normalizer"], "normalizers"), _parts(settings["pre_tokenizer"], "pretokenizers")
+    split = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
+    return (
+        all(x in NORMALIZERS for x in normalizers)
+        and len(splitters) == 2
+        and splitters[0] == split
+        and (splitters[1]["type"], splitters[1]["add_prefix_space"], splitters[1]["use_regex"]) == ("ByteLevel", False, False)
+        and settings.get("truncation") is None
+        and settings.get("padding") is None
+        and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in settings["added_tokens"])
+        and (model["type"], model.get("dropout"), model.get("continuing_subword_prefix")) == ("BPE", None, None)
+    )
+
+
 class Encoder:
-    """The tokenizer applied to space-separated pieces, each distinct piece once.
+    """A tokenizer; where its settings allow, each distinct space-separated piece is encoded once.
 
-    The tokenizer's normalizer and splitter never join or reorder text across an
-    ASCII space, so a text's ids are those of its pieces in turn.  That holds for
-    the file used here; ``whole`` says whether to encode texts whole instead.
+    The settings in the file decide (``splits_at_spaces``); under any others, and
+    with ``whole``, texts are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int, whole: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(self.tokenizer.to_str())
         self.end = np.array([end_id], "<i4").tobytes()
-        self.whole = whole
+        self.whole = whole or not splits_at_spaces(settings)
         self.known: dict[str, bytes] = {}
+        if self.whole:
+            return
         # The mark must be one id of its own that leaves its neighbours as they are; else pieces are encoded singly.
         mark = self._flat(MARK)
         self.mark_id = mark[0] if len(mark) == 1 and self._flat(f"a {MARK} b") == self._flat("a") + mark + self._flat("b") else None
-
-        # A lower-case Latin word, and a run of ASCII punctuation, is one pre-token of the byte-level splitter: the
-        # model alone gives its ids.  The samples say whether that holds for this file.
+        # A lower-case Latin word, and a run of ASCII punctuation, is one pre-token of this splitter: the model alone
+        # gives its ids, if letters are folded as here.
         self.model = self.tokenizer.model
-        samples = {"The": "the", "quick": "quick", "ÉTÉ": "été", "straße": "straße", "ñandú": "ñandú", "?!": "?!", "###": "###", "'": "'", "ª": "ª", "µ": "µ"}
-        self.simple = all(self._flat(text) == self._single(word) for text, word in samples.items()) and self._flat("Fox?!") == self._flat("fox") + self._flat("?!")
+        self.simple = NORMALIZERS[2] in _parts(settings["normalizer"], "normalizers")
 
     def _single(self, word: str) -> list[int]:
         if not word.isascii():
@@ -140,8 +176,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     """Write ``doc_id, part, start_in_part, n_tokens, tokens`` under ``path``.
 
     Files follow one another in ascending id order (nulls first, ties by text).
-    Null and empty texts have the end id alone; repeated rows are written each;
-    an empty table writes no rows; other columns are ignored.
+    Null and empty texts have the end id alone; very long texts are encoded whole, one
+    list each (at most 2**31 - 1 ids); repeated rows are written each; an empty table
+    writes no rows; other columns are ignored, whatever their names.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -154,8 +191,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         part, start = TaskContext.get().partitionId(), 0
         coder = _encoder(tokenizer, end_id, whole)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
                 ids = coder.encode(piece.column(1).to_pylist())
                 lengths = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.concatenate(([0], np.cumsum(lengths)))
@@ -165,7 +202,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
                     names=["doc_id", "part", "start_in_part", "n_tokens", "tokens"],
                 )
                 start += int(ends[-1])
+        coder.known.clear()
+        release()
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__sl_text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("__sl_text")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -86,6 +86,27 @@ def test_pieces_encode_like_whole_texts(texts):
         assert np.frombuffer(ids, "<i4").tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_other_settings_are_encoded_whole(tmp_path):
+    import json
+
+    path, whole = tokenizer()
+    settings = json.loads(whole.to_str())
+    assert token_store.splits_at_spaces(settings) and not token_store._encoder(path, 1, False).whole
+    for change in (
+        {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFKC"}]}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}},
+        {"added_tokens": [{**settings["added_tokens"][0], "lstrip": True}]},
+    ):
+        assert not token_store.splits_at_spaces(settings | change)
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(settings | {"normalizer": {"type": "NFC"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}))
+    from tokenizers import Tokenizer
+
+    plain, coder = Tokenizer.from_file(str(other)), token_store.Encoder(str(other), 1)
+    for t, ids in zip(ODD, coder.encode(ODD)):
+        assert np.frombuffer(ids, "<i4").tolist() == [*plain.encode(t, add_special_tokens=False).ids, 1]
+
+
 def test_store_and_selective_read(spark, tmp_path):
     path, whole = tokenizer()
     rows = [(k * 3 % 101, f"word{k} " * (k % 7)) for k in range(100)] + [(200, None), (200, None), (None, "null id")]
