@@ -43,6 +43,11 @@ def release() -> None:
         pass
 
 
+def column(name: str) -> "F.Column":
+    """A column by its whole name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def hash62(*columns) -> "F.Column":
     """A non-negative 62-bit hash: differences of two of them never overflow."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 2)

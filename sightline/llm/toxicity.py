@@ -1,44 +1,53 @@
 """Toxicity from class-conditional Kneser-Ney language models.
 
-Two bigram models, toxic and ordinary, back off to class unigrams and these to one
-shared distribution.  Every count is a Kneser-Ney continuation count: of a bigram or
-word, how many distinct words precede it in the class (shared: anywhere in the
-corpus), so copies of a passage count once.  Counts are discounted by ``DISCOUNTS``, or
-by all they have if that is less: an expression seen in a few contexts gets the same
-small probability in both classes and doesn't tip the balance.  A document's evidence
-is the length-normalised difference of its two log-likelihoods, over the whole text,
-over its most toxic stretches and over its most toxic words, turned into a probability
-by a logistic fit on a fold that the counts don't include.
-
-The shared counts cover all documents and are exact: distinct (preceding word, word)
-pairs of 64-bit hashes, packed by slices of words and counted a slice at a time, so they
-grow with the corpus.  A word that keeps no count in either class has the same backoff in
-both and its shared count cancels out; the driver gets the counts of the other words and
-the total of all.  Class counts come from at most ``SAMPLE`` labelled documents.
+Two interpolated bigram models, toxic and ordinary, back off to class unigrams and these
+to one distribution that both share.  Bigrams have raw counts (a repeated text of the
+labelled sample counts once); class unigrams and the shared distribution have
+Kneser-Ney continuation counts: how many distinct words precede a word, in the class
+and anywhere in the corpus.  The absolute discounts of counts 1, 2 and 3 or more are
+estimated, per class and order, from the counts of counts.  A document's evidence is
+its length-normalised difference of log-likelihoods, and one logistic variable turns it
+into a probability.
+
+Two things are chosen by log loss on a fold that the counts don't include, from fixed
+lists: how many times over the discounts are taken (``STRENGTHS``; the toxic class is
+small, and an expression seen there a few times by chance must not tip the balance, so
+it gets its share of the shared counts instead), and over how many of a text's words,
+the most toxic ones, the difference is normalised (``SPANS``; 0: all).
+
+The shared counts cover all documents and are exact: distinct pairs of a preceding
+word's 64-bit hash and a word of the model's vocabulary (all other words are one),
+packed and counted by slices of the preceding word.  A pair lies in one slice, so the
+slices' counts add up, and a frequent word is spread over all of them.  The vocabulary
+holds the words that keep a count in a class; of the others the shared probability is
+the same on both sides and cancels.  Class counts come from at most ``SAMPLE`` labelled
+documents, and so does the size of the model.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WordHashes, documents, fold_of, labelled_sample
+from .common import WordHashes, bounded_batches, column, documents, fold_of, labelled_sample, materialize, release
 from .decontaminate import words_of
+from ..sources.scratch import discard
 
 SAMPLE = 20_000
 CALIBRATION = 6_000
+CLASSES = ("ordinary", "toxic")
 #: Tokens and distinct words a worker gathers before it packs their pairs, and bytes of input a slice.
-GATHERED = (1 << 22, 400_000)
+GATHERED = (1 << 21, 200_000)
 SLICE_BYTES = 8 << 20
-BIGRAMS_KEPT = 1 << 19
-#: Of words and of bigrams, in contexts.
-DISCOUNTS = (2.0, 6.0)
-#: Widths of stretches and numbers of words whose mean evidence counts.
-STRETCHES = (4, 16)
-WORST = (1, 2, 3, 4, 6, 8)
-FEATURES = 2 + len(STRETCHES) + len(WORST)
+#: Multiples of the discounts, of words and of bigrams (infinite: bigrams back off wholly).
+STRENGTHS = (2.0, 4.0, 8.0), (2.0, 4.0, 8.0, float("inf"))
+#: Numbers of words whose mean difference can be the evidence; 0: the whole text.
+SPANS = (0, 16, 8, 4, 3, 2, 1)
 RIDGE = 1.0
 
 _U = np.uint64
@@ -57,10 +66,6 @@ def pair_keys(lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def bigram_keys(words: np.ndarray) -> np.ndarray:
-    return pair_keys(words[:-1], words[1:])
-
-
 class WordNumbers(dict):
     """Numbers of words in order of appearance; 0 stands for the start of a text."""
 
@@ -94,38 +99,48 @@ def unpack(data: bytes, kind) -> np.ndarray:
 
 
 def slice_bits(docs: DataFrame) -> int:
-    """Of the word hash, so that slices are of like size whatever the input's size; steers cost only."""
+    """Of the preceding word's hash, so that slices are of like size whatever the input's size; steers cost only."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max((size // SLICE_BYTES).bit_length(), 4), 12)
+    return min(max((size // SLICE_BYTES).bit_length(), 4), 24)
+
 
+def places(table: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Of each word its place in the sorted table; the table's length where it isn't there."""
+    if not len(table):
+        return np.zeros(len(words), np.int64)
+    at = np.searchsorted(table, words)
+    return np.where(table[np.minimum(at, len(table) - 1)] == words, at, len(table))
 
-def shared_contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``word, n``: how many distinct words (or the start) precede each word, over all rows."""
+
+def shared_contexts(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text") -> DataFrame:
+    """``word, n``: how many distinct words (or the start) precede each word, over all rows.
+
+    ``vocabulary`` holds sorted 64-bit hashes; ``word`` is a place in it, its length for all
+    other words together.  Words that never occur have no row.
+    """
     shift = _U(64 - slice_bits(docs.select(text_col)))
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def packed(numbers, words, before):
         found = numbers.hashes()
         order = np.argsort(found, kind="stable")
         rank = np.empty(len(found), np.uint64)
         rank[order] = np.arange(len(found), dtype=np.uint64)
-        sorted_hashes = found[order]
-        codes = distinct(rank[np.concatenate(words)] << _U(32) | rank[np.concatenate(before)])
-        word, prev = (codes >> _U(32)).astype(np.int64), (codes & _U(0xFFFFFFFF)).astype(np.int64)
-        part = (sorted_hashes[word] >> shift).astype(np.int32)
+        place = places(known.value, found).astype(np.uint64)
+        codes = distinct(rank[np.concatenate(before)] << _U(32) | place[np.concatenate(words)])
+        prev, word = found[order][(codes >> _U(32)).astype(np.int64)], (codes & _U(0xFFFFFFFF)).astype(np.uint32)
+        part = (prev >> shift).astype(np.int32)
         cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-        columns = [[] for _ in range(5)]
+        columns = [[] for _ in range(4)]
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            w, starts = np.unique(word[lo:hi], return_index=True)
-            used = np.zeros(len(found), bool)
-            used[prev[lo:hi]] = True
-            place = np.cumsum(used, dtype=np.uint32)[prev[lo:hi]] - np.uint32(1)
-            steps = np.concatenate((place[:1], np.diff(place)))
-            steps[starts] = place[starts]
+            starts = np.flatnonzero(np.concatenate(([True], prev[lo + 1 : hi] != prev[lo : hi - 1])))
+            steps = np.diff(word[lo:hi], prepend=np.uint32(0))
+            steps[starts] = word[lo:hi][starts]
             sizes = np.diff(np.append(starts, hi - lo)).astype(np.uint32)
-            for column, x in zip(columns, (int(part[lo]), pack(sorted_hashes[w]), pack(sizes), pack(sorted_hashes[used]), pack(steps))):
-                column.append(x)
+            for values, x in zip(columns, (int(part[lo]), pack(prev[lo:hi][starts]), pack(sizes), pack(steps))):
+                values.append(x)
         for at in range(0, len(columns[0]), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0][at : at + 256], pa.int32()), *(pa.array(c[at : at + 256], pa.binary()) for c in columns[1:])], names=["part", "words", "sizes", "prevs", "steps"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0][at : at + 256], pa.int32()), *(pa.array(c[at : at + 256], pa.binary()) for c in columns[1:])], names=["part", "prevs", "sizes", "steps"])
 
     def scan(batches):
         numbers, words, before, tokens = WordNumbers(), [], [], 0
@@ -142,222 +157,273 @@ def shared_contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     numbers, words, before, tokens = WordNumbers(), [], [], 0
         if words:
             yield from packed(numbers, words, before)
+        del numbers, words, before
+        release()
 
     def count(table):
-        words, prevs = ([unpack(x, np.uint64) for x in table.column(k).to_pylist()] for k in ("words", "prevs"))
-        all_words, all_prevs = distinct(np.concatenate(words)), distinct(np.concatenate(prevs))
+        prevs = [unpack(x, np.uint64) for x in table.column("prevs").to_pylist()]
+        every = distinct(np.concatenate(prevs))
         kept, waiting, held = np.empty(0, np.uint64), [], 0
-        for k, (w, p) in enumerate(zip(words, prevs)):
+        for k, p in enumerate(prevs):
             sizes, steps = unpack(table.column("sizes")[k].as_py(), np.uint32).astype(np.int64), unpack(table.column("steps")[k].as_py(), np.uint32)
-            run = np.cumsum(steps, dtype=np.int64)
+            run = np.cumsum(steps, dtype=np.uint64)
             starts = np.cumsum(sizes) - sizes
-            place = run - np.repeat(run[starts] - steps[starts], sizes)
-            waiting.append(np.repeat(np.searchsorted(all_words, w).astype(np.uint64) << _U(32), sizes) | np.searchsorted(all_prevs, p).astype(np.uint64)[place])
-            held += len(place)
-            if held >= max(GATHERED[0], len(kept)) or k == len(words) - 1:
+            word = run - np.repeat(run[starts] - steps[starts].astype(np.uint64), sizes)
+            waiting.append(np.repeat(np.searchsorted(every, p).astype(np.uint64) << _U(32), sizes) | word)
+            held += len(word)
+            if held >= max(GATHERED[0], len(kept)) or k == len(prevs) - 1:
                 kept, waiting, held = distinct(np.concatenate((kept, *waiting))), [], 0
-        n = np.bincount((kept >> _U(32)).astype(np.int64), minlength=len(all_words))
-        return pa.table({"word": pa.array(all_words.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+        word, n = np.unique(kept & _U(0xFFFFFFFF), return_counts=True)
+        return pa.table({"word": pa.array(word.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    rows = docs.select(F.col(text_col).cast("binary")).mapInArrow(scan, "part int, words binary, sizes binary, prevs binary, steps binary")
-    return rows.groupBy("part").applyInArrow(count, "word long, n long")
+    rows = docs.select(F.col(text_col).cast("binary")).mapInArrow(scan, "part int, prevs binary, sizes binary, steps binary")
+    return rows.groupBy("part").applyInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def class_counts(sample: DataFrame) -> DataFrame:
-    """Continuation counts of bigrams ``w0, w1`` by class, of labelled ``text, label`` rows."""
+    """``w0, w1, ordinary, toxic``: counts of bigrams by class, of labelled ``text, label`` rows.
+
+    Rows equal in text and label count once; ``w0`` is 0 at the start of a text.
+    """
+
+    def packed(lefts, rights, labels):
+        lefts, rights, labels = map(np.concatenate, (lefts, rights, labels))
+        order = np.lexsort((rights, lefts))
+        lefts, rights, labels = lefts[order], rights[order], labels[order]
+        first = np.flatnonzero(np.concatenate(([True], (lefts[1:] != lefts[:-1]) | (rights[1:] != rights[:-1]))))
+        toxic = np.add.reduceat(labels, first)
+        every = np.diff(np.append(first, len(lefts)))
+        return pa.RecordBatch.from_arrays([*(pa.array(x[first].view(np.int64)) for x in (lefts, rights)), pa.array(every - toxic), pa.array(toxic)], names=["w0", "w1", *CLASSES])
 
     def scan(batches):
-        hashed = hashes()
+        hashed, seen = hashes(), set()
+        held, tokens = ([], [], []), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                piece = batch.slice(at, 2000)
-                befores, lefts, rights, labels = [], [], [], []
-                for text, label in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    words = words_of(text)
-                    if words:
-                        h = np.concatenate((np.zeros(2, _U), hashed(words)))
-                        befores.append(h[:-2]), lefts.append(h[1:-1]), rights.append(h[2:]), labels.append(np.full(len(words), 1 + (label > 0), np.int8))
-                if not lefts:
+            for text, label, h in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                words = words_of(text)
+                if not words or (h, label) in seen:
                     continue
-                befores, lefts, rights, labels = map(np.concatenate, (befores, lefts, rights, labels))
-                order = np.lexsort((befores, rights, lefts))
-                befores, lefts, rights = befores[order], lefts[order], rights[order]
-                first = np.flatnonzero(np.concatenate(([True], (befores[1:] != befores[:-1]) | (lefts[1:] != lefts[:-1]) | (rights[1:] != rights[:-1]))))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[first].view(np.int64)) for x in (befores, lefts, rights)), pa.array(np.bitwise_or.reduceat(labels[order], first))], names=["before", "w0", "w1", "classes"])
+                seen.add((h, label))
+                x = np.concatenate((np.zeros(1, _U), hashed(words)))
+                for values, new in zip(held, (x[:-1], x[1:], np.full(len(words), label, np.int64))):
+                    values.append(new)
+                tokens += len(words)
+                if tokens >= 1 << 19:
+                    yield packed(*held)
+                    held, tokens = ([], [], []), 0
+        if tokens:
+            yield packed(*held)
+        del held, seen
+        release()
+
+    rows = sample.select(F.col("text").cast("binary").alias("text"), (F.col("label") > 0).cast("int").alias("label"))
+    # Equal texts meet in one partition; the sample is bounded.
+    rows = rows.withColumn("h", F.xxhash64("text")).repartition("h").mapInArrow(scan, "w0 long, w1 long, ordinary long, toxic long")
+    return rows.groupBy("w0", "w1").agg(*(F.sum(c).alias(c) for c in CLASSES))
+
+
+def counts_of_counts(counts: DataFrame) -> list[list[int]]:
+    """Of each class how many rows have the count 1, 2, 3 and 4."""
+    found = counts.agg(*(F.count_if(F.col(c) == k).alias(f"{c}{k}") for c in CLASSES for k in (1, 2, 3, 4))).first()
+    return [[found[f"{c}{k}"] for k in (1, 2, 3, 4)] for c in CLASSES]
+
+
+def discounts_of(n: list[int]) -> np.ndarray:
+    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more; 0.75 where the counts of counts are too few."""
+    out = np.array([0.0, 0.75, 0.75, 0.75])
+    if min(n) > 0:
+        y = n[0] / (n[0] + 2 * n[1])
+        out[1:] = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k) for k in (1, 2, 3)]
+    return out
 
-    rows = sample.select(F.col("text").cast("binary"), (F.col("label") > 0).cast("int").alias("label")).mapInArrow(scan, "before long, w0 long, w1 long, classes byte")
-    # One exchange serves both steps.
-    once = rows.repartition("w0", "w1").groupBy("w0", "w1", "before").agg(F.bit_or("classes").alias("classes"))
-    return once.groupBy("w0", "w1").agg(F.count_if(F.col("classes").bitwiseAND(2) > 0).alias("toxic"), F.count_if(F.col("classes").bitwiseAND(1) > 0).alias("ordinary"))
 
+def _keeps(discounts: list[np.ndarray], strength: float):
+    """Rows that keep a count in a class."""
+    out = F.lit(False)
+    for c, d in zip(CLASSES, discounts):
+        n = F.col(c)
+        out = out | (n > strength * F.when(n == 1, F.lit(float(d[1]))).when(n == 2, F.lit(float(d[2]))).otherwise(F.lit(float(d[3]))))
+    return out
 
-class KneserNey:
-    """Both class models over the words that keep a count; index 0 ordinary, 1 toxic.
 
-    The last place of each table stands for all other words.
-    """
+def kept_counts(counts: np.ndarray, discounts: np.ndarray, strength: float) -> np.ndarray:
+    """Counts less their discounts, 0 at least."""
+    taken = np.where(counts > 0, discounts[np.minimum(counts, 3).astype(np.int64)], 1.0) * strength
+    return np.maximum(counts - taken, 0.0)
 
-    def __init__(self, vocabulary, preceded, pairs, words, totals, lefts, bigrams):
-        self.words = vocabulary
-        size = len(vocabulary) + 1
-        shared = np.append(preceded, 1.0) / max(pairs, 1.0)
-        self.unigram = np.zeros((2, size), np.float32)
-        for c in (0, 1):
-            n = np.zeros(size)
-            n[self.places(words[0])] = words[1 + c]
-            total = max(totals[c], 1.0)
-            kept = np.maximum(n - DISCOUNTS[0], 0)
-            left = 1.0 - kept.sum() / total
-            self.unigram[c] = kept / total + left * shared
-        # Of a context: its count and the mass its discounts free.
-        self.count, self.freed = np.zeros((2, size), np.float32), np.zeros((2, size), np.float32)
-        for c in (0, 1):
-            at = self.places(lefts[0])
-            self.count[c][at] = lefts[1 + 2 * c]
-            self.freed[c][at] = lefts[2 + 2 * c]
-        order = np.argsort(bigrams[0])
-        self.keys = bigrams[0][order]
-        self.seen = np.stack([b[order] for b in bigrams[1:]]).astype(np.float32)
-
-    def places(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(words), np.int64)
-        at = np.searchsorted(self.words, words)
-        return np.where(self.words[np.minimum(at, len(self.words) - 1)] == words, at, len(self.words))
-
-    def evidence(self, words: np.ndarray) -> np.ndarray:
-        """Toxic minus ordinary log-probability of each word (64-bit hashes) after the one before."""
+
+@dataclass
+class Counts:
+    """What both models are made of; rows of two are ordinary, toxic."""
+
+    vocabulary: np.ndarray  #: sorted word hashes
+    shared: np.ndarray  #: distinct words before each, one place more for all other words
+    words: np.ndarray  #: distinct words before each, by class
+    word_totals: np.ndarray  #: kinds of bigrams by class
+    contexts: np.ndarray  #: sorted word hashes of the bigrams' first words
+    context_totals: np.ndarray  #: bigrams that start with each, by class
+    keys: np.ndarray  #: sorted keys of bigrams
+    bigrams: np.ndarray  #: counts by class
+    context_of: np.ndarray  #: place of each bigram's first word
+    word_discounts: list
+    bigram_discounts: list
+
+    def find(self, words: np.ndarray):
+        """Places of a text's words, of their contexts and of their bigrams."""
         h = np.concatenate((np.zeros(1, _U), words))
-        b, keys = self.places(h), bigram_keys(h)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[at] == keys
-        logs = []
+        return places(self.vocabulary, words), places(self.contexts, h[:-1]), places(self.keys, pair_keys(h[:-1], h[1:]))
+
+
+class KneserNey:
+    """Both class models under given strengths of the discounts; the last place of each table stands for all others."""
+
+    def __init__(self, counts: Counts, word_strength: float, bigram_strength: float):
+        shared = counts.shared / max(counts.shared.sum(), 1.0)
+        size, contexts = len(counts.vocabulary), len(counts.contexts)
+        self.unigram, self.freed, self.seen = np.zeros((2, size + 1)), np.ones((2, contexts + 1)), np.zeros((2, len(counts.keys) + 1))
         for c in (0, 1):
-            n, p = self.count[c][b[:-1]], self.unigram[c][b[1:]]
-            if len(self.keys):
-                seen = np.where(hit, self.seen[c][at], 0)
-                kept = np.maximum(seen - DISCOUNTS[1], 0)
-                p = np.where(n > 0, (kept + self.freed[c][b[:-1]] * p) / np.maximum(n, 1), p)
-            logs.append(np.log(np.maximum(p, 1e-30)))
+            kept = kept_counts(counts.words[c], counts.word_discounts[c], word_strength)
+            total = max(counts.word_totals[c], 1.0)
+            self.unigram[c] = np.append(kept, 0.0) / total + (1.0 - kept.sum() / total) * shared
+            kept = kept_counts(counts.bigrams[c], counts.bigram_discounts[c], bigram_strength)
+            n = np.maximum(counts.context_totals[c], 1.0)
+            self.seen[c, :-1] = kept / n[counts.context_of] if len(kept) else kept
+            self.freed[c, :-1] = np.where(counts.context_totals[c] > 0, 1.0 - np.bincount(counts.context_of, kept, contexts) / n, 1.0)
+
+    def log_probabilities(self, found) -> np.ndarray:
+        word, context, bigram = found
+        return np.log(np.maximum(self.seen[:, bigram] + self.freed[:, context] * self.unigram[:, word], 1e-30))
+
+    def evidence(self, found) -> np.ndarray:
+        """Toxic minus ordinary log-probability of each word after the one before."""
+        logs = self.log_probabilities(found)
         return logs[1] - logs[0]
 
 
-def features_of(evidence: np.ndarray) -> np.ndarray:
-    """Mean evidence of the text, its best stretches and its worst words; log length."""
-    out = np.zeros(FEATURES)
+def span_means(evidence: np.ndarray, spans=SPANS) -> list[float]:
+    """Mean evidence over the whole text, or over so many of its words, the most toxic ones."""
     n = len(evidence)
-    if n:
-        sums = np.concatenate(([0.0], np.cumsum(evidence, dtype=np.float64)))
-        out[0], out[1] = sums[-1] / n, np.log1p(n)
-        for k, width in enumerate(STRETCHES, 2):
-            w = min(width, n)
-            out[k] = (sums[w:] - sums[:-w]).max() / w
-        most = min(n, WORST[-1])
-        worst = np.cumsum(np.sort(np.partition(evidence, n - most)[n - most :])[::-1], dtype=np.float64)
-        for k, count in enumerate(WORST, 2 + len(STRETCHES)):
-            c = min(count, n)
-            out[k] = worst[c - 1] / c
-    return out
+    if not n:
+        return [0.0] * len(spans)
+    most = min(n, max(spans))
+    top = np.cumsum(np.sort(np.partition(evidence, n - most)[n - most :])[::-1]) if most else None
+    return [float(top[min(k, n) - 1] / min(k, n)) if k else float(evidence.mean()) for k in spans]
 
 
 class Calibration:
-    """A ridge logistic fit of standardised features."""
+    """A ridge logistic fit of one standardised variable, and its mean log loss."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        width = x.shape[1] if x.ndim == 2 and len(x) else FEATURES
-        self.middle, self.scale, self.weights = np.zeros(width), np.ones(width), np.zeros(width + 1)
+        self.middle, self.scale, self.weights, self.loss = 0.0, 1.0, np.zeros(2), float("inf")
         if not len(y):
             return
-        self.weights[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-        if y.min() == y.max():
-            return
-        self.middle, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        z = np.hstack((np.ones((len(x), 1)), (x - self.middle) / self.scale))
-        w, pull = np.zeros(width + 1), np.diag([1e-6] + [RIDGE] * width)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + pull, z.T @ (y - p) - pull @ w)
-            w += step
-            if np.abs(step).max() < 1e-8:
-                break
+        w = np.array([np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0])
+        self.middle, self.scale = float(x.mean()), float(x.std() + 1e-9)
+        z = np.stack((np.ones(len(x)), (x - self.middle) / self.scale), axis=1)
+        if y.min() != y.max():
+            pull = np.diag([1e-6, RIDGE])
+            for _ in range(100):
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + pull, z.T @ (y - p) - pull @ w)
+                w = w + np.clip(step, -2, 2)
+                if np.abs(step).max() < 1e-8:
+                    break
         self.weights = w
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        z = self.weights[0] + ((x - self.middle) / self.scale) @ self.weights[1:]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        self.loss = float(-np.log(np.where(y > 0, p, 1 - p)).mean())
+
+    def __call__(self, x):
+        """The probability, of an array or as a column."""
+        slope = float(self.weights[1] / self.scale)
+        z = (x - self.middle) * slope + float(self.weights[0])
+        if isinstance(x, np.ndarray):
+            return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+
+
+def count_classes(docs: DataFrame, sample: DataFrame) -> Counts:
+    """The counts of both models: classes from the labelled sample, the shared ones from all of ``docs``."""
+    counted = materialize(class_counts(sample), "bigrams")
+    by_word = counted.groupBy(F.col("w1").alias("word")).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in CLASSES))
+    of_words, of_bigrams = ([discounts_of(n) for n in counts_of_counts(x)] for x in (by_word, counted))
+    totals = by_word.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CLASSES)).first()
+    # What the weakest discount takes whole in both classes is scored as if it were absent.
+    words = by_word.where(_keeps(of_words, STRENGTHS[0][0])).orderBy("word").toArrow()
+    kept = counted.where(_keeps(of_bigrams, STRENGTHS[1][0]))
+    bigrams = kept.toArrow()
+    lefts = counted.join(kept.select("w0").distinct(), "w0", "left_semi").groupBy("w0").agg(*(F.sum(c).alias(c) for c in CLASSES)).toArrow()
+    discard(counted)
+    keys = lambda t, c: t[c].to_numpy().view(_U)
+    both = lambda t, order: np.stack([t[c].to_numpy()[order] for c in CLASSES]).astype(float)
+    vocabulary, contexts, pairs = keys(words, "word"), keys(lefts, "w0"), pair_keys(keys(bigrams, "w0"), keys(bigrams, "w1"))
+    by_value = [np.argsort(x) for x in (vocabulary, contexts, pairs)]
+    vocabulary, contexts, pairs = (x[o] for x, o in zip((vocabulary, contexts, pairs), by_value))
+    shared = np.zeros(len(vocabulary) + 1)
+    found = shared_contexts(docs, vocabulary).toArrow()
+    shared[found["word"].to_numpy()] = found["n"].to_numpy()
+    return Counts(
+        vocabulary, shared, both(words, by_value[0]), np.array([totals[c] for c in CLASSES], float), contexts, both(lefts, by_value[1]),
+        pairs, both(bigrams, by_value[2]), places(contexts, keys(bigrams, "w0")[by_value[2]]), of_words, of_bigrams,
+    )
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, calibration: int = CALIBRATION):
-    """Fit both models and the calibration; returns the broadcast pair."""
+    """Fit both models; returns the model broadcast, the span and the calibration."""
     spark = docs.sparkSession
-    counted = class_counts(labelled_sample(spark, docs, labels, label, sample, (1, 2, 3)))
-    counted = counted.persist()
-    classes = ("ordinary", "toxic")
-    by_word = counted.groupBy(F.col("w1").alias("word")).agg(*(F.sum((F.col(c) > 0).cast("int")).alias(c) for c in classes))
-    totals = by_word.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in classes)).first()
-    # A word or context whose discount takes all it has in both classes is scored as if it were absent: its backoffs' ratio is the same.
-    words = by_word.where(F.greatest(*classes) > DISCOUNTS[0]).toArrow()
-    sums = []
-    for c in classes:
-        n = F.col(c)
-        sums += [F.sum(n).alias(f"n_{c}"), F.sum(F.least(n.cast("double"), F.lit(DISCOUNTS[1]))).alias(f"f_{c}")]
-    lefts = counted.groupBy("w0").agg(*sums).where(" or ".join(f"n_{c} > f_{c}" for c in classes)).toArrow()
-    bigrams = counted.where(F.greatest("toxic", "ordinary") > DISCOUNTS[1]).orderBy(F.greatest("toxic", "ordinary").desc(), "w0", "w1").limit(BIGRAMS_KEPT).select("w0", "w1", *classes).toArrow()
-    keys = lambda t, c: t[c].to_numpy().view(_U)
-    vocabulary = np.unique(np.concatenate((keys(words, "word"), keys(lefts, "w0"))))
-    # Exact shared counts of the model's words; those of all others are summed up.
-    known = F.broadcast(spark.createDataFrame(pa.table({"word": vocabulary.view(np.int64)})).withColumn("known", F.lit(True)))
-    of_word = F.when(F.col("known"), F.col("word")).otherwise(F.lit(0)).alias("word")
-    counts = shared_contexts(docs).join(known, "word", "left").groupBy(of_word, F.isnotnull("known").alias("known")).agg(F.sum("n").alias("n")).toArrow()
-    counted.unpersist()
-    seen, preceded = counts.filter(counts["known"]), np.zeros(len(vocabulary))
-    preceded[np.searchsorted(vocabulary, keys(seen, "word"))] = seen["n"].to_numpy()
-    model = KneserNey(
-        vocabulary,
-        preceded,
-        float(counts["n"].to_numpy().sum()),
-        (keys(words, "word"), *(words[c].to_numpy().astype(float) for c in classes)),
-        [totals[c] for c in classes],
-        (keys(lefts, "w0"), *(lefts[f"{k}_{c}"].to_numpy().astype(float) for c in classes for k in ("n", "f"))),
-        (pair_keys(keys(bigrams, "w0"), keys(bigrams, "w1")), *(bigrams[c].to_numpy().astype(float) for c in classes)),
-    )
-    shared = spark.sparkContext.broadcast(model)
+    bounded_batches(spark)
+    counts = count_classes(docs, labelled_sample(spark, docs, labels, label, sample, (1, 2, 3)))
+    choices = [(a, b) for a in STRENGTHS[0] for b in STRENGTHS[1]]
+    tried = spark.sparkContext.broadcast([KneserNey(counts, *x) for x in choices])
     held = labelled_sample(spark, docs, labels, label, calibration, (4,))
-    rows = _features(held.select("doc_id", "text", "label"), shared, ["label"]).toPandas()
-    x = np.array(rows["__sl_x"].tolist(), float).reshape(len(rows), FEATURES)
-    return shared, Calibration(x, (rows["label"].to_numpy(float) > 0).astype(float))
+    rows = _span_means(held.select("text", "label"), spark.sparkContext.broadcast(counts), tried, SPANS, ["label"]).toArrow()
+    tried.unpersist()
+    y = (rows["label"].to_numpy() > 0).astype(float)
+    x = np.array(rows["__sl_x"].to_pylist(), float).reshape(len(y), len(choices), len(SPANS))
+    fits = [(Calibration(x[:, i, k], y), choices[i], SPANS[k]) for i in range(len(choices)) for k in range(len(SPANS))]
+    fit, strengths, span = min(fits, key=lambda f: f[0].loss)
+    return spark.sparkContext.broadcast(counts), spark.sparkContext.broadcast([KneserNey(counts, *strengths)]), span, fit
 
 
-def _features(rows: DataFrame, model, keep: list[str], text_col: str = "text") -> DataFrame:
+def _span_means(rows: DataFrame, counts, models, spans, keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep`` and ``__sl_x``: of each model in turn the means of ``spans``."""
+    own = text_col in keep
+    sent = [column(c) for c in keep] + ([] if own else [column(text_col).alias("__sl_text")])
+    at = keep.index(text_col) if own else len(keep)
+
     def score(batches):
-        hashed, m = hashes(), model.value
+        hashed, c, every = hashes(), counts.value, models.value
         for batch in batches:
-            x = [features_of(m.evidence(hashed(w))) if (w := words_of(t)) else features_of(np.empty(0)) for t in batch.column(0).to_pylist()]
-            flat = pa.array(np.concatenate(x) if x else np.empty(0))
-            width = FEATURES
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), flat)], names=[*keep, "__sl_x"])
-
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(F.col(text_col).cast("binary").alias("__sl_text"), *keep).mapInArrow(score, f"{kinds}, __sl_x array<double>")
+            for start in range(0, batch.num_rows, 512):
+                piece, x = batch.slice(start, 512), []
+                for text in piece.column(at).cast(pa.binary()).to_pylist():
+                    found = c.find(hashed(words)) if (words := words_of(text)) else None
+                    for m in every:
+                        x += span_means(m.evidence(found) if found else np.empty(0), spans)
+                ends = pa.array(np.arange(piece.num_rows + 1) * len(every) * len(spans), pa.int32())
+                yield pa.RecordBatch.from_arrays([*piece.columns[: len(keep)], pa.ListArray.from_arrays(ends, pa.array(x, pa.float64()))], names=[*keep, "__sl_x"])
+        hashed.clear()
+        release()
+
+    sent_rows = rows.select(*sent)
+    schema = T.StructType([*sent_rows.schema.fields[: len(keep)], T.StructField("__sl_x", T.ArrayType(T.DoubleType()))])
+    return sent_rows.mapInArrow(score, schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, text_col: str = "text", id_col: str = "doc_id", score_col: str = "score") -> DataFrame:
     """``keep`` (default: the id) and ``score_col``, the probability of label 1, for every row.
 
-    Null and empty texts have no evidence and get the score of a text whose evidence
-    is 0; repeated rows score alike; without labels, or with one class only, all rows
-    score the smoothed base rate.  Columns of ``docs`` outside ``keep`` are ignored.
+    Null, empty and wordless texts have no evidence and get the score of a text whose
+    evidence is 0; a very long text is scored whole; repeated rows score alike, and equal
+    evidence gives equal scores; an empty table gives an empty result.  Without labels, or
+    with one class only, all rows score the smoothed base rate (no labels: 0.5).
+    Columns of ``docs`` outside ``keep`` are ignored; a kept column of the name
+    ``score_col`` is replaced by the score.
     """
-    keep = keep or [id_col]
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model, calibration = train(plain, labels)
-    width = calibration.weights
-    rows = _features(docs, model, keep, text_col)
-    z = F.lit(float(width[0] - (calibration.middle / calibration.scale) @ width[1:]))
-    for k in range(FEATURES):
-        z = z + F.get("__sl_x", F.lit(k)) * F.lit(float(width[k + 1] / calibration.scale[k]))
-    return rows.withColumn(score_col, 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).drop("__sl_x")
+    keep = [c for c in keep or [id_col] if c != score_col]
+    plain = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
+    counts, model, span, fit = train(plain, labels)
+    rows = _span_means(docs, counts, model, (span,), keep, text_col)
+    return rows.withColumn(score_col, fit(F.get("__sl_x", F.lit(0)))).drop("__sl_x")
 
 
 def op9_kneser_ney(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -200,19 +201,74 @@ def test_classifiers_on_the_held_out_fold(spark, score, column, threshold):
 def test_shared_contexts_are_exact(spark):
     rng = random.Random(12)
     texts = [" ".join(f"p{rng.randrange(9000)} the" for _ in range(900)) + f" only{k} x" for k in range(12)] + [None, "", "the", "The the"]
+    known = ["the", "x", "never", "p7", "p8"]
+    hashed = toxicity.hashes()([w.encode() for w in known])
+    vocabulary = np.sort(hashed)
     preceding = defaultdict(set)
     for text in texts:
         before = None
         for w in (text or "").lower().split():
-            preceding[w].add(before)
+            preceding[w if w in known else None].add(before)
             before = w
-    assert len(preceding["the"]) > 5000
+    assert len(preceding["the"]) > 5000 and len(preceding[None]) > 1
+    place = dict(zip(known, np.searchsorted(vocabulary, hashed).tolist())) | {None: len(known)}
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     for some in (docs.repartition(5), docs.repartition(1)):
-        got = {r.word: r.n for r in toxicity.shared_contexts(some).collect()}
-        keys = dict(zip(preceding, toxicity.hashes()([w.encode() for w in preceding]).view(np.int64).tolist()))
-        assert got == {keys[w]: len(p) for w, p in preceding.items()}
-    assert toxicity.shared_contexts(docs.limit(0)).count() == 0
+        got = {r.word: r.n for r in toxicity.shared_contexts(some, vocabulary).collect()}
+        assert got == {place[w]: len(p) for w, p in preceding.items()}
+    assert toxicity.shared_contexts(docs.limit(0), vocabulary).count() == 0
+    assert [(r.word, r.n) for r in toxicity.shared_contexts(docs, np.empty(0, np.uint64)).collect()] == [(0, len(set().union(*preceding.values())))]
+
+
+@pytest.mark.parametrize("strengths", [(2.0, 2.0), (4.0, 2.0), (2.0, float("inf"))])
+def test_kneser_ney_against_brute_force(spark, strengths):
+    rng = random.Random(3)
+    words = [f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(4000)]
+    texts = [" ".join(words[k * 40 : k * 40 + 40]) for k in range(100)]
+    rows = [(t, int(k % 3 == 0)) for k, t in enumerate(texts)] + [(texts[0], 1)] * 5 + [(None, 1), ("", 0)]
+    everything = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)] + [(1000, "w1 w3 new words w1 w9 w1")], "doc_id long, text string")
+    counts = toxicity.count_classes(everything, spark.createDataFrame(rows, "text string, label int").repartition(3))
+    model = toxicity.KneserNey(counts, *strengths)
+    # Plainly, with dictionaries and words.
+    pairs = [Counter(), Counter()]
+    for t, y in set(rows):
+        w = (t or "").split()
+        pairs[y].update(zip([None, *w], w))
+    corpus = {(a, b) for t in [*texts, "w1 w3 new words w1 w9 w1"] for a, b in zip([None, *t.split()], t.split())}
+    discount = lambda n: lambda k: toxicity.discounts_of([sum(v == i for v in n.values()) for i in (1, 2, 3, 4)])[min(k, 3)]
+    preceded = [Counter(b for _, b in p) for p in pairs]
+    kept = lambda n, strength: {w: max(k - strength * discount(n)(k), 0.0) if strength < 1e9 else 0.0 for w, k in n.items()}
+    of_words, of_pairs = [kept(n, strengths[0]) for n in preceded], [kept(n, strengths[1]) for n in pairs]
+    weakest = [kept(n, 2.0) for n in preceded]
+    vocabulary = {w for n in weakest for w, k in n.items() if k > 0}
+    named = lambda w: w if w in vocabulary else None
+    before = defaultdict(set)
+    for a, b in corpus:
+        before[named(b)].add(a)
+    shared = {w: len(x) / sum(map(len, before.values())) for w, x in before.items()}
+
+    def probability(c, a, b):
+        n = sum(preceded[c].values())
+        p = (of_words[c].get(b, 0.0) if b in vocabulary else 0.0) / n + (1 - sum(of_words[c].values()) / n) * shared[named(b)]
+        h = sum(k for (x, _), k in pairs[c].items() if x == a)
+        if not h:
+            return p
+        held = {y: k for (x, y), k in of_pairs[c].items() if x == a}
+        return held.get(b, 0.0) / h + (1 - sum(held.values()) / h) * p
+
+    text = "w1 w2 w1 unseen w3 w1 w1 w40 new w2 w2".split()
+    found = counts.find(toxicity.hashes()([w.encode() for w in text]))
+    want = [[math.log(probability(c, a, b)) for a, b in zip([None, *text], text)] for c in (0, 1)]
+    got = model.log_probabilities(found)
+    assert np.allclose(got, want, atol=1e-9) and np.allclose(model.evidence(found), np.subtract(want[1], want[0]), atol=1e-9)
+    # Each class distributes one over the vocabulary and the other words, after any word.
+    every = [*sorted(vocabulary), "other"]
+    assert all(sum(probability(c, a, b) for b in every) == pytest.approx(1) for c in (0, 1) for a in (None, "w1", "other"))
+
+
+def test_spans():
+    x = np.array([3.0, -1.0, 1.0, 1.0])
+    assert toxicity.span_means(x, (0, 1, 2, 16)) == [1.0, 3.0, 2.0, 1.0] and toxicity.span_means(x[:0], (0, 3)) == [0.0, 0.0]
 
 
 @pytest.mark.parametrize("score", [toxicity.toxicity_scores, quality.quality_scores])
