@@ -24,7 +24,8 @@ from .common import bounded_batches, documents, release, scratch_path
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
-CACHE_ENTRIES = 150_000
+#: Entries of either generation of the encoder's two tables (pieces; single words).
+CACHE_ENTRIES = 160_000
 LAYOUT = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
@@ -83,6 +84,17 @@ def splits_at_spaces(settings: dict) -> bool:
     )
 
 
+class Recent:
+    """A table of bounded size in two generations: what is met again moves to the newer one."""
+
+    def __init__(self, bound: int):
+        self.bound, self.new, self.old = bound, {}, {}
+
+    def turn(self) -> None:
+        if len(self.new) >= self.bound:
+            self.new, self.old = {}, self.new
+
+
 class Encoder:
     """A tokenizer; where its settings allow, each distinct space-separated piece is encoded once.
 
@@ -97,7 +109,7 @@ class Encoder:
         settings = json.loads(self.tokenizer.to_str())
         self.end = np.array([end_id], "<i4").tobytes()
         self.whole = whole or not splits_at_spaces(settings)
-        self.known: dict[str, bytes] = {}
+        self.pieces, self.words = Recent(CACHE_ENTRIES), Recent(CACHE_ENTRIES)
         if self.whole:
             return
         # The mark must be one id of its own that leaves its neighbours as they are; else pieces are encoded singly.
@@ -108,11 +120,6 @@ class Encoder:
         self.model = self.tokenizer.model
         self.simple = NORMALIZERS[2] in _parts(settings["normalizer"], "normalizers")
 
-    def _single(self, word: str) -> list[int]:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(BYTE_LEVEL)
-        return [t.id for t in self.model.tokenize(word)]
-
     def _flat(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
@@ -121,34 +128,46 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode distinct pieces as one text with a mark between them, and cut the ids at the mark's."""
+        known = self.pieces.new
         plain = [p for p in pieces if MARK not in p] if self.mark_id is not None else []
         if plain:
             ids = np.array(self._flat(f" {MARK} ".join(plain)), "<i4")
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * 4
-            data, at, known = ids.tobytes(), 0, self.known
+            data, at = ids.tobytes(), 0
             for piece, end in zip(plain, ends.tolist(), strict=True):
                 known[piece] = data[at:end]
                 at = end + 4
         rest = [p for p in pieces if MARK in p] if self.mark_id is not None else pieces
-        self.known.update(zip(rest, self._ids(rest)))
+        known.update(zip(rest, self._ids(rest)))
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a lower-case word or a run of punctuation, from the model alone."""
+        words = self.words
+        found = words.new.get(word)
+        if found is None:
+            found = words.old.get(word)
+            if found is None:
+                if word.isascii():
+                    tokens = self.model.tokenize(word)
+                else:
+                    tokens = self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LEVEL))
+                found = array("i", [t.id for t in tokens]).tobytes()
+            words.new[word] = found
+        return found
 
     def _meet(self, pieces: set[str]) -> None:
         """Learn new pieces.  A Latin word and the punctuation after it are learnt apart and case-folded."""
-        known, rest = self.known, []
+        known, old, rest = self.pieces.new, self.pieces.old, []
         for p in pieces:
+            found = old.get(p)
+            if found is not None:
+                known[p] = found
+                continue
             if self.simple and (p.isascii() or max(p) < "\u0100"):
                 core = p.rstrip(PUNCTUATION)
                 if core.isalpha():
-                    word, tail = core.lower(), p[len(core) :]
-                    found = known.get(word)
-                    if found is None:
-                        found = known[word] = array("i", self._single(word)).tobytes()
-                    if tail:
-                        after = known.get(tail)
-                        if after is None:
-                            after = known[tail] = array("i", self._single(tail)).tobytes()
-                        found += after
-                    known[p] = found
+                    found = self._word(core.lower())
+                    known[p] = found + self._word(p[len(core) :]) if len(core) < len(p) else found
                     continue
             rest.append(p)
         for at in range(0, len(rest), 2000):
@@ -158,11 +177,10 @@ class Encoder:
         if self.whole:
             return [x + self.end for x in self._ids([t or "" for t in texts])]
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        self._meet(set().union(*split).difference(known))
-        return [b"".join([known[p] for p in pieces]) + self.end for pieces in split]
+        self.pieces.turn(), self.words.turn()
+        self._meet(set().union(*split).difference(self.pieces.new))
+        ids_of = self.pieces.new.__getitem__
+        return [b"".join(map(ids_of, pieces)) + self.end for pieces in split]
 
 
 def _encoder(path: str, end_id: int, whole: bool) -> Encoder:
@@ -202,7 +220,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
                     names=["doc_id", "part", "start_in_part", "n_tokens", "tokens"],
                 )
                 start += int(ends[-1])
-        coder.known.clear()
         release()
 
     bounded_batches(docs.sparkSession)
