@@ -180,52 +180,87 @@ def shared_contexts(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "te
     return rows.groupBy("part").applyInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+#: In place of the word before the first and after the last.
+START, END = 0, 1
+#: Kinds of rows of ``class_counts``.
+TOTALS, WORDS, BIGRAMS, LAST = range(4)
+
+
+def _bigrams(lefts, rights, counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bigrams by second, then first word, with their summed counts."""
+    order = np.lexsort((lefts, rights))
+    lefts, rights, counts = lefts[order], rights[order], counts[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(lefts), 1), bool), (lefts[1:] != lefts[:-1]) | (rights[1:] != rights[:-1]))))
+    return lefts[first], rights[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def class_counts(sample: DataFrame) -> DataFrame:
-    """``w0, w1, ordinary, toxic``: counts of bigrams by class, of labelled ``text, label`` rows.
+    """Counts of words and bigrams by class, of labelled ``text, label`` rows, in one table.
 
-    Rows equal in text and label count once; ``w0`` is 0 at the start of a text.
+    ``kind, w0, w1, ordinary, toxic, raw_ordinary, raw_toxic``.  WORDS: distinct words
+    before ``w1``, and raw counts; BIGRAMS: raw counts, of those found twice in a class; LAST:
+    texts that end in ``w0``; TOTALS: parts of sums, ``w0`` 0 for words and 1 for bigrams,
+    ``w1`` 0 for how many there are and 1 to 4 for how many have that count.  Rows
+    equal in text and label count once.
     """
 
-    def packed(lefts, rights, labels):
-        lefts, rights, labels = map(np.concatenate, (lefts, rights, labels))
-        order = np.lexsort((rights, lefts))
-        lefts, rights, labels = lefts[order], rights[order], labels[order]
-        first = np.flatnonzero(np.concatenate(([True], (lefts[1:] != lefts[:-1]) | (rights[1:] != rights[:-1]))))
-        toxic = np.add.reduceat(labels, first)
-        every = np.diff(np.append(first, len(lefts)))
-        return pa.RecordBatch.from_arrays([*(pa.array(x[first].view(np.int64)) for x in (lefts, rights)), pa.array(every - toxic), pa.array(toxic)], names=["w0", "w1", *CLASSES])
-
     def scan(batches):
         hashed, seen = hashes(), set()
         held, tokens = ([], [], []), 0
+
+        def packed():
+            lefts, rights, counts = _bigrams(*map(np.concatenate, held))
+            return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (lefts, rights)), *(pa.array(counts[:, c]) for c in (0, 1))], names=["w0", "w1", *CLASSES])
+
         for batch in batches:
             for text, label, h in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 words = words_of(text)
                 if not words or (h, label) in seen:
                     continue
                 seen.add((h, label))
-                x = np.concatenate((np.zeros(1, _U), hashed(words)))
-                for values, new in zip(held, (x[:-1], x[1:], np.full(len(words), label, np.int64))):
+                x = np.concatenate((np.full(1, START, _U), hashed(words), np.full(1, END, _U)))
+                counts = np.zeros((len(x) - 1, 2), np.int64)
+                counts[:, label] = 1
+                for values, new in zip(held, (x[:-1], x[1:], counts)):
                     values.append(new)
                 tokens += len(words)
                 if tokens >= 1 << 19:
-                    yield packed(*held)
+                    yield packed()
                     held, tokens = ([], [], []), 0
         if tokens:
-            yield packed(*held)
-        del held, seen
+            yield packed()
+        held = seen = None
+        release()
+
+    def tally(batches):
+        parts = [[b.column(k).to_numpy() for k in range(4)] for b in batches if b.num_rows]
+        if not parts:
+            return
+        lefts, rights, *counts = (np.concatenate(x) for x in zip(*parts))
+        lefts, rights, counts = _bigrams(lefts, rights, np.stack(counts, axis=1))
+        last = rights == END
+        rows = [[LAST, lefts[last], rights[last], counts[last], counts[last]]]
+        lefts, rights, counts = lefts[~last], rights[~last], counts[~last]
+        first = np.flatnonzero(np.concatenate((np.ones(min(len(rights), 1), bool), rights[1:] != rights[:-1])))
+        if len(first):
+            before, raw = np.add.reduceat((counts > 0).astype(np.int64), first), np.add.reduceat(counts, first)
+            keep = raw.max(axis=1) > 1
+            rows.append([WORDS, lefts[first][keep], rights[first][keep], before[keep], raw[keep]])
+            keep = counts.max(axis=1) > 1
+            rows.append([BIGRAMS, lefts[keep], rights[keep], counts[keep], counts[keep]])
+            for order, n in enumerate((before, counts)):
+                sums = np.stack([(n > 0).sum(axis=0), *((n == k).sum(axis=0) for k in (1, 2, 3, 4))])
+                rows.append([TOTALS, np.full(5, order), np.arange(5), sums, sums])
+        for kind, w0, w1, n, raw in rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w0), kind, np.int8)), *(pa.array(x.astype(np.int64)) for x in (w0, w1, n[:, 0], n[:, 1], raw[:, 0], raw[:, 1]))], names=names)
+        del parts, rows
         release()
 
+    names = ["kind", "w0", "w1", *CLASSES, *(f"raw_{c}" for c in CLASSES)]
     rows = sample.select(F.col("text").cast("binary").alias("text"), (F.col("label") > 0).cast("int").alias("label"))
-    # Equal texts meet in one partition; the sample is bounded.
+    # Equal texts meet in one partition, then all bigrams of a second word; the sample is bounded.
     rows = rows.withColumn("h", F.xxhash64("text")).repartition("h").mapInArrow(scan, "w0 long, w1 long, ordinary long, toxic long")
-    return rows.groupBy("w0", "w1").agg(*(F.sum(c).alias(c) for c in CLASSES))
-
-
-def counts_of_counts(counts: DataFrame) -> list[list[int]]:
-    """Of each class how many rows have the count 1, 2, 3 and 4."""
-    found = counts.agg(*(F.count_if(F.col(c) == k).alias(f"{c}{k}") for c in CLASSES for k in (1, 2, 3, 4))).first()
-    return [[found[f"{c}{k}"] for k in (1, 2, 3, 4)] for c in CLASSES]
+    return rows.repartition("w1").mapInArrow(tally, "kind tinyint, " + ", ".join(f"{c} long" for c in names[1:]))
 
 
 def discounts_of(n: list[int]) -> np.ndarray:
@@ -242,13 +277,13 @@ def _keeps(discounts: list[np.ndarray], strength: float):
     out = F.lit(False)
     for c, d in zip(CLASSES, discounts):
         n = F.col(c)
-        out = out | (n > strength * F.when(n == 1, F.lit(float(d[1]))).when(n == 2, F.lit(float(d[2]))).otherwise(F.lit(float(d[3]))))
+        out = out | ((n > 1) & (n > strength * F.when(n == 2, F.lit(float(d[2]))).otherwise(F.lit(float(d[3])))))
     return out
 
 
 def kept_counts(counts: np.ndarray, discounts: np.ndarray, strength: float) -> np.ndarray:
-    """Counts less their discounts, 0 at least."""
-    taken = np.where(counts > 0, discounts[np.minimum(counts, 3).astype(np.int64)], 1.0) * strength
+    """Counts less their discounts, 0 at least; a count of 1 keeps nothing."""
+    taken = np.where(counts > 1, discounts[np.minimum(counts, 3).astype(np.int64)], 1.0) * strength
     return np.maximum(counts - taken, 0.0)
 
 
@@ -344,14 +379,18 @@ class Calibration:
 def count_classes(docs: DataFrame, sample: DataFrame) -> Counts:
     """The counts of both models: classes from the labelled sample, the shared ones from all of ``docs``."""
     counted = materialize(class_counts(sample), "bigrams")
-    by_word = counted.groupBy(F.col("w1").alias("word")).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in CLASSES))
-    of_words, of_bigrams = ([discounts_of(n) for n in counts_of_counts(x)] for x in (by_word, counted))
-    totals = by_word.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CLASSES)).first()
+    of_kind = lambda kind: counted.where(F.col("kind") == kind)
+    sums = {(r.w0, r.w1): [r[c] for c in CLASSES] for r in of_kind(TOTALS).groupBy("w0", "w1").agg(*(F.sum(c).alias(c) for c in CLASSES)).collect()}
+    of_words, of_bigrams = ([discounts_of([sums.get((order, k), [0, 0])[c] for k in (1, 2, 3, 4)]) for c in (0, 1)] for order in (0, 1))
     # What the weakest discount takes whole in both classes is scored as if it were absent.
-    words = by_word.where(_keeps(of_words, STRENGTHS[0][0])).orderBy("word").toArrow()
-    kept = counted.where(_keeps(of_bigrams, STRENGTHS[1][0]))
+    words = of_kind(WORDS).where(_keeps(of_words, STRENGTHS[0][0])).select(F.col("w1").alias("word"), *CLASSES).toArrow()
+    kept = of_kind(BIGRAMS).where(_keeps(of_bigrams, STRENGTHS[1][0])).select("w0", "w1", *CLASSES)
     bigrams = kept.toArrow()
-    lefts = counted.join(kept.select("w0").distinct(), "w0", "left_semi").groupBy("w0").agg(*(F.sum(c).alias(c) for c in CLASSES)).toArrow()
+    # A word starts as many bigrams as it has occurrences that don't end a text; every text starts one after the start.
+    raw = [F.col(f"raw_{c}").alias(c) for c in CLASSES]
+    texts = of_kind(LAST).groupBy().agg(*(F.sum(c).alias(c) for c in CLASSES)).select(F.lit(START).cast("long").alias("w0"), *CLASSES)
+    starts = of_kind(WORDS).select(F.col("w1").alias("w0"), *raw).unionByName(of_kind(LAST).select("w0", *((-F.col(c)).alias(c) for c in CLASSES))).unionByName(texts)
+    lefts = starts.join(kept.select("w0").distinct(), "w0", "left_semi").groupBy("w0").agg(*(F.sum(c).alias(c) for c in CLASSES)).toArrow()
     discard(counted)
     keys = lambda t, c: t[c].to_numpy().view(_U)
     both = lambda t, order: np.stack([t[c].to_numpy()[order] for c in CLASSES]).astype(float)
@@ -362,7 +401,7 @@ def count_classes(docs: DataFrame, sample: DataFrame) -> Counts:
     found = shared_contexts(docs, vocabulary).toArrow()
     shared[found["word"].to_numpy()] = found["n"].to_numpy()
     return Counts(
-        vocabulary, shared, both(words, by_value[0]), np.array([totals[c] for c in CLASSES], float), contexts, both(lefts, by_value[1]),
+        vocabulary, shared, both(words, by_value[0]), np.array(sums.get((1, 0), [0, 0]), float), contexts, both(lefts, by_value[1]),
         pairs, both(bigrams, by_value[2]), places(contexts, keys(bigrams, "w0")[by_value[2]]), of_words, of_bigrams,
     )
 
