@@ -3,11 +3,14 @@
 The alphabet is words.  Every benchmark item gives windows of 13 consecutive words
 (or one shorter window); windows of like length are searched together.  A table over
 blocks of two words says how far the search may skip; where it says 0, the block is
-the suffix of some window's first ``m`` words, its bucket names the candidates, and a
-direct comparison confirms them.  Words absent from the benchmark never stop a skip.
-
-Benchmark texts reach the executors in blocks of at most ``BLOCK_WORDS`` words, one
-broadcast each, so a benchmark of any size is searched whole in bounded memory.
+the suffix of some window's first ``m`` words, the bucket of that suffix and the
+window's first word names the candidates, and a direct comparison confirms them.
+Words absent from the benchmark never stop a skip.
+
+A benchmark is cut into blocks of about ``BLOCK_WORDS`` words (one item more at most).
+A benchmark of one block, the usual case, is broadcast and searched in one pass.  A
+larger one is searched a block a pass, so that a worker holds one block at a time and the driver
+two; the passes' hits, few, are joined by document at the end.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents
+from .common import bounded_batches, column, documents, materialize, release
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
@@ -42,7 +46,7 @@ class WordSearch:
         self.base = base
         self.skip_all = self.m - self.b + 1
         self.shift: dict[int, int] = {}
-        self.bucket: dict[int, list[int]] = {}
+        self.bucket: dict[tuple[int, int], list[int]] = {}
         self.patterns = patterns
         for k, p in enumerate(patterns):
             for end in range(self.b - 1, self.m):
@@ -51,11 +55,11 @@ class WordSearch:
                 if far < self.shift.get(block, self.skip_all):
                     self.shift[block] = far
                 if not far:
-                    self.bucket.setdefault(block, []).append(k)
+                    self.bucket.setdefault((block, p[0]), []).append(k)
 
     def search(self, ids: list[int]):
         """Yield (pattern, start) of every occurrence."""
-        m, base, shift, skip_all, pairs = self.m, self.base, self.shift.get, self.skip_all, self.b == 2
+        m, base, shift, skip_all, pairs, named = self.m, self.base, self.shift.get, self.skip_all, self.b == 2, self.bucket.get
         at, n = m - 1, len(ids)
         while at < n:
             block = ids[at - 1] * base + ids[at] if pairs else ids[at]
@@ -64,10 +68,9 @@ class WordSearch:
                 at += far
                 continue
             start = at - m + 1
-            first = ids[start]
-            for k in self.bucket[block]:
+            for k in named((block, ids[start]), ()):
                 p = self.patterns[k]
-                if p[0] == first and tuple(ids[start : start + len(p)]) == p:
+                if tuple(ids[start : start + len(p)]) == p:
                     yield k, start
             at += 1
 
@@ -132,59 +135,94 @@ _MATCHERS: dict = {}
 
 
 def _matcher(name: str, block, window: int) -> Matcher:
-    """Built once per Python worker and block; few are kept at a time when there are many."""
+    """Built once per Python worker and block; the last one only is kept."""
     key = (name, window)
     if key not in _MATCHERS:
-        if len(_MATCHERS) >= 2:
-            _MATCHERS.clear()
+        _MATCHERS.clear()
         _MATCHERS[key] = Matcher(block.value, window)
     return _MATCHERS[key]
 
 
+_SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("past", T.LongType())]))
+_FOUND = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", _SPANS)]
+_ARROW_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
+
+
+def _search(rows: DataFrame, kept: int, at: int, block, window: int) -> DataFrame:
+    """The first ``kept`` columns of ``rows`` and what one block finds in the text, column number ``at``."""
+    names, name = rows.columns[:kept], uuid.uuid4().hex  # workers live on between queries: a block's name must be its own
+
+    def search(batches):
+        m = _matcher(name, block, window) if block is not None else None
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                piece = batch.slice(start, 512)
+                counts, spans, items = [], [], []
+                for text in piece.column(at).cast(pa.binary()).to_pylist():
+                    words = words_of(text)
+                    s, i = m.find(words) if words and m else ((), ())
+                    counts.append(len(words)), spans.append(merged(s)), items.append(sorted(i))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *piece.columns[:kept],
+                        pa.array(counts, pa.int64()),
+                        pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
+                        pa.array(items, pa.list_(pa.string())),
+                        pa.array([[{"first": a, "past": b} for a, b in s] for s in spans], _ARROW_SPANS),
+                    ],
+                    names=[*names, "n_words", "n_hit", "items", "spans"],
+                )
+        release()
+
+    return rows.mapInArrow(search, T.StructType([*rows.schema.fields[:kept], *_FOUND]))
+
+
+def _joined(spans):
+    """Overlapping or touching stretches made one; ``spans`` is sorted."""
+    last = lambda a: F.element_at(a, -1)
+    longer = lambda a, x: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a)["first"].alias("first"), F.greatest(last(a)["past"], x["past"]).alias("past"))))
+    return F.aggregate(spans, F.array().cast(_SPANS), lambda a, x: F.when((F.size(a) > 0) & (x["first"] <= F.try_element_at(a, F.lit(-1))["past"]), longer(a, x)).otherwise(F.concat(a, F.array(x))))
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default: ``id_col``), ``n_words``, ``n_hit``, ``items`` (sorted) and ``spans`` of each row of ``docs``.
 
     ``spans`` are the hit stretches as [first word, one past the last).  Null, empty
-    and wordless texts have 0 words and no hits; null or wordless items have no
-    windows; repeated rows are answered each; other columns of ``docs`` are ignored.
-    Names in ``keep`` that clash with the four result columns are an error.
+    and wordless texts have 0 words and no hits; very long texts are searched whole;
+    null or wordless items have no windows, and items equal in id count as one; a
+    window of several items names them all; repeated rows are answered each.  An empty
+    benchmark hits nothing, an empty table gives an empty result.  Other columns of
+    ``docs`` are ignored; names in ``keep`` that clash with the four result columns are
+    an error.
     """
     spark = docs.sparkSession
-    # Workers live on between queries: a block's name must be its own.
-    blocks = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in _blocks(benchmark, item_col, text_col, block_words)]
+    bounded_batches(spark)
     keep = keep or [id_col]
     if clash := {"n_words", "n_hit", "items", "spans"} & set(keep):
         raise ValueError(f"columns to keep clash with results: {sorted(clash)}")
-
-    def search(batches):
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            split = [words_of(t) for t in texts]
-            spans: list[list] = [[] for _ in split]
-            items: list[set] = [set() for _ in split]
-            for name, block in blocks:
-                m = _matcher(name, block, window)
-                for k, words in enumerate(split):
-                    if words:
-                        s, i = m.find(words)
-                        if s:
-                            spans[k] += s
-                            items[k] |= i
-            joined = [merged(s) for s in spans]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[1:],
-                    pa.array([len(w) for w in split], pa.int64()),
-                    pa.array([sum(b - a for a, b in s) for s in joined], pa.int64()),
-                    pa.array([sorted(i) for i in items], pa.list_(pa.string())),
-                    pa.array([[{"first": a, "past": b} for a, b in s] for s in joined], pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))),
-                ],
-                names=[*keep, "n_words", "n_hit", "items", "spans"],
-            )
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    rows = docs.select(F.col(text_col).cast("binary").alias("__sl_text"), *keep)
-    return rows.mapInArrow(search, f"{kinds}, n_words long, n_hit long, items array<string>, spans array<struct<first: long, past: long>>")
+    own = text_col in keep
+    rows = docs.select(*map(column, keep), *([] if own else [column(text_col).alias("__sl_text")]))
+    at = keep.index(text_col) if own else len(keep)
+    blocks = _blocks(benchmark, item_col, text_col, block_words)
+    block, following = next(blocks, None), next(blocks, None)
+    if following is None:
+        return _search(rows, len(keep), at, spark.sparkContext.broadcast(block) if block else None, window)
+    # Several blocks: number the rows once, search a block a pass, and put the hits together by number.
+    numbered = materialize(rows.withColumn("__sl_row", F.monotonically_increasing_id()), "benchmark-documents")
+    text = numbered.columns[at]
+    slim, found = numbered.select("__sl_row", text), None
+    while block is not None:
+        shared = spark.sparkContext.broadcast(block)
+        hits = materialize(_search(slim, 1, 1, shared, window).where("n_hit > 0").select("__sl_row", "items", "spans"), "benchmark-hits")
+        shared.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+        block, following = following, next(blocks, None)
+    merged_hits = found.groupBy("__sl_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), _joined(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"))
+    counted = _search(numbered.select("__sl_row", *(numbered.columns[: len(keep)]), *([] if own else [text])), len(keep) + 1, at + 1, None, window)
+    out = counted.drop("n_hit", "items", "spans").join(merged_hits, "__sl_row", "left")
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["past"] - x["first"])
+    none = F.array()
+    return out.select(*map(column, keep), "n_words", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none.cast("array<string>")).alias("items"), F.coalesce("spans", none.cast(_SPANS)).alias("spans"))
 
 
 def contaminated(n_hit="n_hit", n_words="n_words", share: int = SHARE):
