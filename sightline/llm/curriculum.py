@@ -4,13 +4,17 @@ Each source owns a share of the training tokens (``source_targets``).  Its weigh
 over training time ``u`` in [0, 1] is a piecewise-linear schedule.  Integrating the
 schedule gives the source's cumulative token demand; a document covers a stretch of
 that demand, and inverting the integral turns the stretch's middle into a training
-position.  Passes over a source repeat until its demand is met, so a document is
-used once per pass, at most ``max_repeats`` times.  Documents are then range-sorted
-by position.
+position.  Passes over a source repeat while they fit its demand whole; of the last,
+partial pass the documents that end before the demand does are used, and the gap left is
+closed by the one document that comes nearest (the next one, or a later one of about the
+gap's size), or by none.  A source misses its target by less than half of the next
+document, and by the nearest size of a later one at most.  A document is used at most
+``max_repeats`` times.  Documents are then range-sorted by position.
 
 Order within a source is the md5 of the id, so that reruns agree.  The running token
-count is a sum over (source, hash cell) totals plus a window inside one cell, so that
-a source with a third of all rows is spread over ``16 ** CELL_DIGITS`` tasks.
+count is a sum over (source, hash cell) totals plus a window inside one cell; cells have
+about ``CELL_WORDS`` words whatever the input's size, so that a source with a third of
+all rows is spread over as many tasks as it needs.
 """
 
 from __future__ import annotations
@@ -18,12 +22,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents
+from .common import WORD, column, documents, materialize
 
 #: Weights of the sources in code-point order, repeating.
 CYCLE = (5, 2, 1)
 MAX_REPEATS = 3
-CELL_DIGITS = 3
+CELL_WORDS = 1 << 22
 #: Schedules in turn, like CYCLE: (time, relative weight) knots; early, steady and late emphasis.
 SCHEDULES = (
     ((0.0, 1.5), (1.0, 0.5)),
@@ -78,37 +82,74 @@ def position_of(share, place, schedules=SCHEDULES):
     return out
 
 
-def mix(docs: DataFrame, cycle=CYCLE, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _starts(rows: DataFrame, digits: int, cells: DataFrame) -> DataFrame:
+    """``rows`` with ``__sl_start``: the words of their source before them."""
+    within = Window.partitionBy("__sl_source", "__sl_cell").orderBy("__sl_md5", "__sl_size", "__sl_tie")
+    placed = rows.withColumn("__sl_cell", F.substring("__sl_md5", 1, digits)).join(cells, ["__sl_source", "__sl_cell"])
+    start = F.col("__sl_before") + F.sum("__sl_size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sl_size")
+    return placed.withColumn("__sl_start", start)
+
+
+def _partial_pass(placed: DataFrame) -> DataFrame:
+    """Of each source ``__sl_last``: the start of the document that closes the gap of its partial pass, or null.
+
+    The documents that end by the rest of the target are used anyway.
+    """
+    size, start, rest = F.col("__sl_size"), F.col("__sl_start"), F.col("__sl_rest")
+    end = start + size
+    filled = F.coalesce(F.max(F.when(end <= rest, end)), F.lit(0))
+    gap = F.first("__sl_rest") - filled
+    of_gaps = placed.where(size > 0).groupBy("__sl_source").agg(gap.alias("__sl_gap"))
+    after = placed.where((size > 0) & (end > rest)).join(of_gaps, "__sl_source")
+    off = F.abs(F.col("__sl_gap") - size)
+    best = after.groupBy("__sl_source", "__sl_gap").agg(F.min(F.struct(off.alias("off"), start.alias("start"))).alias("best"))
+    return best.select("__sl_source", F.when(F.col("best.off") < F.col("__sl_gap"), F.col("best.start")).alias("__sl_last"))
+
+
+def mix(docs: DataFrame, cycle=CYCLE, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None, cell_words: int = CELL_WORDS) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``times``, ``taken`` and ``positions``.
 
     ``times`` is how often the mix uses the document, ``taken`` the words that makes,
     ``positions`` the training time of each use.  A null source is a source of its
-    own, last in order; null or blank text has size 0 and is used 0 times; rows equal
-    in every column follow one another in the order and are counted each; an empty
-    table gives an empty result.  Columns of ``docs`` with these names are replaced.
+    own, last in order; null, empty and blank texts have size 0 and are used 0 times; very
+    long texts count whole; a null id has the md5 of an empty text; rows equal in id are
+    ordered by size, then text, and those equal in every column follow one another and
+    are counted each; an empty table gives an empty result.  Columns of ``docs`` with
+    these six names are replaced.  With ``size_col`` (words of the text, counted
+    beforehand) the text isn't read.
     """
     ours = ("size", "source_size", "target", "times", "taken", "positions")
-    key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    key = F.when(column(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), column(source_col)))
+    digest = F.md5(F.coalesce(column(id_col).cast("string"), F.lit("")).cast("binary"))
     # Everything that needs the text is computed before the exchange.
-    rows = docs.withColumns({"__sl_size": word_count(F.col(text_col)), "__sl_source": key, "__sl_md5": digest, "__sl_cell": F.substring(digest, 1, CELL_DIGITS), "__sl_tie": F.xxhash64(F.col(id_col), F.col(text_col))}).drop(*ours)
-    cells = rows.groupBy("__sl_source", "__sl_cell").agg(F.sum("__sl_size").alias("__sl_in_cell"))
-    # From here on one row per occupied (source, cell): 16 ** CELL_DIGITS rows per source at most.
+    size = F.coalesce(column(size_col).cast("long"), F.lit(0)) if size_col else word_count(column(text_col))
+    tie = [column(text_col)] if text_col in docs.columns else []
+    rows = docs.withColumns({"__sl_size": size, "__sl_source": key, "__sl_md5": digest, "__sl_tie": F.xxhash64(column(id_col), *tie)}).drop(*ours)
+    slim = materialize(rows.select("__sl_source", "__sl_md5", "__sl_size", "__sl_tie"), "mix-sizes")
+    words, digits = slim.agg(F.sum("__sl_size")).first()[0] or 0, 1
+    while words > cell_words * 16**digits and digits < 8:
+        digits += 1
+    cells = slim.groupBy("__sl_source", F.substring("__sl_md5", 1, digits).alias("__sl_cell")).agg(F.sum("__sl_size").alias("__sl_in_cell"))
     before = F.sum("__sl_in_cell").over(Window.partitionBy("__sl_source").orderBy("__sl_cell").rowsBetween(Window.unboundedPreceding, -1))
     offsets = cells.select("__sl_source", "__sl_cell", F.coalesce(before, F.lit(0)).alias("__sl_before"))
     sizes = cells.groupBy(F.col("__sl_source").alias("source_key")).agg(F.sum("__sl_in_cell").alias("source_size"))
     targets = source_targets(sizes, cycle, max_repeats).select(F.col("source_key").alias("__sl_source"), "source_size", "target", F.col("place").alias("__sl_place"))
-    placed = rows.join(offsets.join(targets, "__sl_source"), ["__sl_source", "__sl_cell"])
-    within = Window.partitionBy("__sl_source", "__sl_cell").orderBy("__sl_md5", "__sl_size", "__sl_tie")
-    size = F.col("__sl_size")
-    start = F.col("__sl_before") + F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, 0)) - size
-    placed = placed.withColumn("__sl_middle", start + size / F.lit(2.0))
-    uses = [F.col("__sl_middle") + F.lit(k) * F.col("source_size") for k in range(max_repeats)]
-    used = [(size > 0) & (u < F.col("target")) for u in uses]
-    times = sum((u.cast("int") for u in used[1:]), used[0].cast("int"))
-    spots = F.filter(F.array(*(F.when(ok, position_of(u / F.col("target"), F.col("__sl_place"), schedules)) for u, ok in zip(uses, used))), lambda x: x.isNotNull())
+    passes = F.coalesce(F.least(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(max_repeats)), F.lit(0)).cast("long")
+    targets = targets.withColumn("__sl_passes", passes).withColumn("__sl_rest", F.col("target") - F.col("__sl_passes") * F.col("source_size"))
+    # One row per occupied (source, cell).
+    offsets = materialize(offsets.join(targets, "__sl_source"), "mix-cells")
+    last = _partial_pass(_starts(slim, digits, offsets))
+    placed = _starts(rows, digits, materialize(offsets.join(last, "__sl_source", "left"), "mix-cells"))
+    size, start = F.col("__sl_size"), F.col("__sl_start")
+    partial = (start + size <= F.col("__sl_rest")) | F.coalesce(start == F.col("__sl_last"), F.lit(False))
+    times = F.when(size > 0, F.col("__sl_passes") + partial.cast("long")).otherwise(F.lit(0)).cast("int")
+    # A use's place in the source's demand; the document that closes the gap comes at the demand's end.
+    moved = F.col("__sl_rest") < start + size
+    middle = lambda k: F.least(F.when(moved & (k == F.col("__sl_passes")), F.col("target")).otherwise(start + size / F.lit(2.0) + k * F.col("source_size")), F.col("target"))
+    uses = [F.when(times > k, position_of(middle(F.lit(k)) / F.col("target"), F.col("__sl_place"), schedules)) for k in range(max_repeats)]
+    spots = F.filter(F.array(*uses), lambda x: x.isNotNull())
     placed = placed.withColumns({"size": size, "times": times, "taken": size * times, "positions": spots})
-    return placed.drop("__sl_size", "__sl_source", "__sl_place", "__sl_md5", "__sl_cell", "__sl_tie", "__sl_before", "__sl_middle")
+    return placed.drop("__sl_size", "__sl_source", "__sl_place", "__sl_md5", "__sl_cell", "__sl_tie", "__sl_before", "__sl_start", "__sl_passes", "__sl_rest", "__sl_last")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
@@ -119,7 +160,9 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 def op10_curriculum_mix(spark, sf_dir: str) -> DataFrame:
     """One row per document, in the order of its first use; unused ones come last, by id."""
-    mixed = mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    # Texts are read once, for their size.
+    sized = materialize(documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("text")), "mix-documents")
+    mixed = mix(sized, size_col="words")
     rows = mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.try_element_at("positions", F.lit(1)).alias("first"))
     order = [F.col("first").asc_nulls_last(), F.col("doc_id")]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("first")
@@ -137,9 +180,14 @@ f AS (SELECT *, cap / w <= (t - coalesce(sum(cap) OVER o, 0)) / (ws - coalesce(s
       FROM r WINDOW o AS (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT k, source_size, CASE WHEN sat THEN cap::DOUBLE ELSE
         w * (t - sum(CASE WHEN sat THEN cap ELSE 0 END) OVER ()) / nullif(ws - sum(CASE WHEN sat THEN w ELSE 0 END) OVER (), 0) END AS target FROM f),
-p AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.k ORDER BY m, size ROWS UNBOUNDED PRECEDING) - size / 2.0 AS middle
-      FROM d JOIN g ON d.k = g.k)
+p AS (SELECT d.*, source_size, target, least(floor(target / nullif(source_size, 0)), 3)::BIGINT AS passes,
+      sum(size) OVER (PARTITION BY d.k ORDER BY m, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN g ON d.k = g.k),
+q AS (SELECT *, target - passes * source_size AS rest FROM p),
+h AS (SELECT k, any_value(rest) - coalesce(max(start + size) FILTER (start + size <= rest), 0) AS gap FROM q WHERE size > 0 GROUP BY k),
+l AS (SELECT k, CASE WHEN off < gap THEN start END AS last FROM (
+        SELECT q.k, gap, abs(gap - size) AS off, start, row_number() OVER (PARTITION BY q.k ORDER BY abs(gap - size), start) AS n
+        FROM q JOIN h ON q.k = h.k WHERE size > 0 AND start + size > rest) WHERE n = 1)
 SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target,
-       (size * ((middle < target)::INT + (middle + source_size < target)::INT + (middle + 2 * source_size < target)::INT))::BIGINT AS taken
-FROM p
+       (CASE WHEN size > 0 THEN size * (passes + (start + size <= rest OR coalesce(start = last, false))::INT) ELSE 0 END)::BIGINT AS taken
+FROM q LEFT JOIN l ON q.k = l.k
 """
