@@ -8,7 +8,8 @@ inside it and only its rows are counted again.  When every splitter meets the
 tolerance the rows are exchanged once, by cell, and numbered inside their shard.
 
 Only DataFrame functions run here; what reaches the driver is one row per
-occupied probe interval, at most ``FIRST_PROBES + refined * PROBES``.
+occupied probe interval: of the first round ``FIRST_PROBES`` at least and one per
+``TASK_BYTES`` of text, ``MOST_PROBES`` at most, then ``PROBES`` per refined one.
 """
 
 from __future__ import annotations
@@ -19,10 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, hash62, materialize
+from .common import column, documents, hash62, materialize
 
 FIRST_PROBES = 4096
+MOST_PROBES = 1 << 18
 PROBES = 256
+#: Heavier cells are cut, so that no task numbers more rows than this.
+TASK_BYTES = 1 << 30
+#: Bins of an interval in a cell's code.
+BINS = 1 << 19
 TOP = (1 << 62) - 1
 
 
@@ -68,11 +74,11 @@ class Splits:
 
 
 def _cell_of(intervals: list[Interval], h, g):
-    """The leaf of a row as ``interval * 2**13 + bin``; later intervals lie inside earlier ones."""
+    """The leaf of a row as ``interval * BINS + bin``; later intervals lie inside earlier ones."""
     code = None
     for k, x in enumerate(intervals):
         key = "h" if x.text_hash is None else "g"
-        here = F.lit(k * 8192) + F.expr(f"cast((__sl_{key} - {x.lo}L) div {x.width}L as int)")
+        here = F.lit(k * BINS).cast("long") + F.expr(f"(__sl_{key} - {x.lo}L) div {x.width}L")
         code = here if code is None else F.when(x.holds(h, g), here).otherwise(code)
     return code
 
@@ -94,7 +100,7 @@ def _count(light: DataFrame, intervals: list[Interval], new: list[int]) -> dict[
     )
     out: dict[int, list[Cell]] = {k: [] for k in new}
     for r in found:
-        k, b = divmod(r["__sl_cell"], 8192)
+        k, b = divmod(r["__sl_cell"], BINS)
         if k in out:
             out[k].append(Cell(k, b, r["b"], r["n"], (r["h0"], r["h1"]), (r["g0"], r["g1"])))
     for cells in out.values():
@@ -108,7 +114,8 @@ def find_splitters(light: DataFrame, shards: int, tolerance: float, task_share:
     ``light`` has ``__sl_h``, ``__sl_g`` and ``__sl_size``.  A cell of one row, or of
     rows equal in both hashes, can't be cut; then the nearer of its ends is taken.
     """
-    intervals = [Interval.over(0, TOP, None, FIRST_PROBES)]
+    wanted = -(-(light.agg(F.sum("__sl_size")).first()[0] or 0) // TASK_BYTES)
+    intervals = [Interval.over(0, TOP, None, min(max(FIRST_PROBES, 1 << wanted.bit_length()), MOST_PROBES))]
     leaves = _count(light, intervals, [0])[0]
     total, rows = sum(c.bytes for c in leaves), sum(c.rows for c in leaves)
     rounds = 1
@@ -120,7 +127,7 @@ def find_splitters(light: DataFrame, shards: int, tolerance: float, task_share:
             ends = [k * total / shards for k in range(before * shards // max(total, 1) + 1, -(-after * shards // max(total, 1)))]
             off = max((min(t - before, after - t) for t in ends), default=0)
             divisible = c.h[0] < c.h[1] or c.g[0] < c.g[1]
-            if divisible and (off > slack or c.bytes > task_share * total or c.rows > task_share * rows):
+            if divisible and (off > slack or c.bytes > min(task_share * total, TASK_BYTES) or c.rows > task_share * rows):
                 cut.append(at)
             before = after
         if not cut:
@@ -147,31 +154,47 @@ def find_splitters(light: DataFrame, shards: int, tolerance: float, task_share:
     return Splits(intervals, leaves, shard_of, first_slot, total, rounds)
 
 
-def histogram_shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.005, task_share: float = 1 / 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def histogram_shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.005, task_share: float = 1 / 400, id_col: str = "doc_id", text_col: str = "text", order: tuple | None = None) -> DataFrame:
     """Add ``shard`` (0..shards-1, near equal bytes) and ``slot`` (gapless from 0) to ``docs``.
 
-    A row weighs its text's UTF-8 bytes plus 1 (null text: 1).  Equal texts stand
-    side by side and stay in one shard unless a splitter has to fall among them.
+    A row weighs its text's UTF-8 bytes plus 1 (null text: 1, as an empty one).  Equal
+    texts stand side by side and stay in one shard; only where all rows of one text
+    weigh more than ``2 * tolerance`` of a shard may a splitter fall among them, by id.
+    A very long text is one row like any other, and a shard may be off by its weight.
     Columns of ``docs`` named ``shard`` or ``slot`` are replaced; an empty table
     gives an empty result; a null id is a value like any other; rows equal in id
-    and text are kept, each with its own slot.
+    and text are kept, each with its own slot, in no particular order.
+
+    ``order``, two columns (a bucket of bounded rows, a place in it), numbers the slots of a
+    shard by them instead of by key.
     """
-    text, ident = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col)
+    text, ident = F.coalesce(column(text_col), F.lit("")), column(id_col)
     keyed = {"__sl_h": hash62(text), "__sl_g": hash62(F.lit(7), ident), "__sl_size": (F.octet_length(text) + F.lit(1)).cast("long")}
-    light = materialize(docs.select(*(c.alias(n) for n, c in keyed.items())), "shard-keys")
+    if order:
+        keyed |= {"__sl_bucket": F.coalesce(order[0], F.lit(-1)).cast("long"), "__sl_place": order[1]}
+    light = materialize(docs.select(*(c.alias(n) for n, c in keyed.items() if n != "__sl_place")), "shard-keys")
     found = find_splitters(light, shards, tolerance, task_share)
     spark = docs.sparkSession
-    # At most FIRST_PROBES + refined * PROBES rows of four numbers.
+    # One row per leaf cell, of three numbers; see the module's bound.
     table = spark.createDataFrame(
-        [(c.interval * 8192 + c.bin, s, f) for c, s, f in zip(found.leaves, found.shard_of, found.first_slot)],
-        T.StructType([T.StructField("__sl_cell", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("__sl_first", T.LongType())]),
+        [(c.interval * BINS + c.bin, s, f) for c, s, f in zip(found.leaves, found.shard_of, found.first_slot)],
+        T.StructType([T.StructField("__sl_cell", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("__sl_first", T.LongType())]),
     )
-    rows = docs.drop("shard", "slot").withColumns(keyed)
-    rows = rows.withColumn("__sl_cell", _cell_of(found.intervals, F.col("__sl_h"), F.col("__sl_g")))
-    within = Window.partitionBy("__sl_cell").orderBy("__sl_h", "__sl_g", F.col(id_col), "__sl_size")
-    numbered = rows.withColumn("__sl_n", F.row_number().over(within))
-    out = numbered.join(F.broadcast(table), "__sl_cell")
-    return out.withColumn("slot", F.col("__sl_first") + F.col("__sl_n") - 1).drop("__sl_cell", "__sl_first", "__sl_n", *keyed)
+    cell = _cell_of(found.intervals, F.col("__sl_h"), F.col("__sl_g"))
+    rows = docs.drop("shard", "slot") if not order else docs.select("*", *(c.alias(n) for n, c in keyed.items())).drop("shard", "slot")
+    rows = (rows if order else rows.withColumns(keyed)).withColumn("__sl_cell", cell)
+    if not order:
+        within = Window.partitionBy("__sl_cell").orderBy("__sl_h", "__sl_g", column(id_col), "__sl_size")
+        numbered = rows.withColumn("__sl_n", F.row_number().over(within)).join(F.broadcast(table), "__sl_cell")
+    else:
+        known = F.broadcast(table.drop("__sl_first"))
+        counts = light.withColumn("__sl_cell", cell).join(known, "__sl_cell").groupBy("shard", "__sl_bucket").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("shard").orderBy("__sl_bucket").rowsBetween(Window.unboundedPreceding, -1))
+        firsts = counts.select("shard", "__sl_bucket", F.coalesce(before, F.lit(0)).alias("__sl_first"))
+        within = Window.partitionBy("shard", "__sl_bucket").orderBy("__sl_place", "__sl_h", "__sl_g")
+        numbered = rows.join(known, "__sl_cell").join(firsts, ["shard", "__sl_bucket"]).withColumn("__sl_n", F.row_number().over(within))
+    out = numbered.withColumn("slot", F.col("__sl_first") + F.col("__sl_n") - 1)
+    return out.select(*(column(c) for c in docs.columns if c not in ("shard", "slot")), "shard", "slot")
 
 
 def op7_histogram_sort(spark, sf_dir: str) -> DataFrame:

@@ -349,10 +349,11 @@ class Calibration:
     """A ridge logistic fit of one standardised variable, and its mean log loss."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.middle, self.scale, self.weights, self.loss = 0.0, 1.0, np.zeros(2), float("inf")
+        # The smoothed base rate: a quarter without labels, so that a lack of them rejects nothing.
+        w = np.array([np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5)), 0.0])
+        self.middle, self.scale, self.weights, self.loss = 0.0, 1.0, w, float("inf")
         if not len(y):
             return
-        w = np.array([np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0])
         self.middle, self.scale = float(x.mean()), float(x.std() + 1e-9)
         z = np.stack((np.ones(len(x)), (x - self.middle) / self.scale), axis=1)
         if y.min() != y.max():
@@ -454,7 +455,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
     Null, empty and wordless texts have no evidence and get the score of a text whose
     evidence is 0; a very long text is scored whole; repeated rows score alike, and equal
     evidence gives equal scores; an empty table gives an empty result.  Without labels, or
-    with one class only, all rows score the smoothed base rate (no labels: 0.5).
+    with one class only, all rows score the smoothed base rate (no labels: 0.25).
     Columns of ``docs`` outside ``keep`` are ignored; a kept column of the name
     ``score_col`` is replaced by the score.
     """
