@@ -1,18 +1,21 @@
 """Representative galleries: confident detections without near repeats.
 
-Greedy suppression as rounds over tables.  A conflict is two candidates of a video at
-most ``gap`` seconds apart whose boxes overlap enough.  In each round every undecided
-candidate with no undecided conflicting one before it (by confidence, time, input
-order) is kept and its conflicts go; that equals going through them one by one.
+Greedy suppression by priority (confidence, time, input order): a candidate is kept
+unless a kept one of its video lies at most ``gap`` seconds away and overlaps
+enough.  A video's gallery has at most ``max_items``, so the fold over a video's sorted
+candidates holds the kept ones only and passes over the rest once it is full.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.geometry import intersection_over_union, padded_crop
-from ..sources.scratch import materialize
+from ..functions.geometry import padded_crop
 from .filters import usable_crops
 
 MAX_ITEMS = 24
@@ -26,43 +29,53 @@ def candidates(detections: DataFrame, videos: DataFrame, padding: float = 0.08,
     return usable_crops(sized.withColumn("crop_box", padded_crop(F.col("box"), F.col("width"), F.col("height"), padding))).drop("width", "height")
 
 
-def conflicts(rows: DataFrame, gap: float = GAP_SECONDS, iou: float = DUPLICATE_IOU, video: str = "video_id") -> DataFrame:
-    """``video, a, b``: places of conflicting candidates, ``a`` first in priority.
-
-    Times are cut into buckets of ``gap``; only a bucket and the next are joined, by
-    equality, so there is no nested-loop band join.
-    """
-    width = gap if gap > 0 else 1.0
-    slim = rows.select(video, "place", "ts", "box", F.floor(F.col("ts") / F.lit(float(width))).alias("__k"))
-    near = slim.withColumn("__k", F.explode(F.array(F.col("__k"), F.col("__k") + 1, F.col("__k") - 1)))
-    a = slim.select(video, "__k", *(F.col(c).alias(f"{c}_a") for c in ("place", "ts", "box")))
-    b = near.select(video, "__k", *(F.col(c).alias(f"{c}_b") for c in ("place", "ts", "box")))
-    met = a.join(b, [video, "__k"]).where((F.col("place_a") < F.col("place_b")) & (F.abs(F.col("ts_a") - F.col("ts_b")) <= F.lit(float(gap))))
-    return met.where(intersection_over_union(F.col("box_a"), F.col("box_b")) >= F.lit(float(iou))).select(video, F.col("place_a").alias("a"), F.col("place_b").alias("b"))
-
-
 def select_representatives(rows: DataFrame, max_items: int = MAX_ITEMS, gap: float = GAP_SECONDS, iou: float = DUPLICATE_IOU, video: str = "video_id", order: list[str] | None = None) -> DataFrame:
     """The gallery of every video with ``item_index``; at least one item where there is a candidate.
 
     ``order`` names the columns that give input order (default: frame_index, det_index).
+    Null confidences come last; a candidate without a time or box repeats nothing; null
+    videos are one video; an empty table gives an empty result; a column ``item_index``
+    is replaced.
     """
-    by = Window.partitionBy(video).orderBy(F.col("confidence").desc(), F.col("ts"), *(order or ["frame_index", "det_index"]))
-    placed = materialize(rows.withColumn("place", F.row_number().over(by)), "gallery-places")
-    edges = materialize(conflicts(placed, gap, iou, video), "gallery-conflicts")
-    lost = None
-    while True:
-        # Blocked: has an undecided conflicting candidate before it.
-        blocked = edges.select(video, F.col("b").alias("place")).distinct()
-        winners = edges.select(video, F.col("a").alias("place")).distinct().join(blocked, [video, "place"], "left_anti")
-        losers = materialize(edges.join(winners.withColumnRenamed("place", "a"), [video, "a"]).select(video, F.col("b").alias("place")).distinct(), "gallery-lost")
-        if losers.isEmpty():
-            break
-        lost = losers if lost is None else lost.unionByName(losers)
-        rest = edges.join(losers.withColumnRenamed("place", "a"), [video, "a"], "left_anti").join(losers.withColumnRenamed("place", "b"), [video, "b"], "left_anti")
-        edges = materialize(rest.join(winners.withColumnRenamed("place", "a"), [video, "a"], "left_anti"), "gallery-conflicts")
-    kept = placed if lost is None else placed.join(lost, [video, "place"], "left_anti")
-    index = F.row_number().over(Window.partitionBy(video).orderBy("place")) - 1
-    return kept.withColumn("item_index", index).where(F.col("item_index") < max(1, max_items)).drop("place")
+    most = max(1, max_items)
+    sort = [F.col(video), F.col("confidence").desc_nulls_last(), F.col("ts"), *(order or ["frame_index", "det_index"])]
+    plain = rows.drop("item_index")
+    box = F.array(*(F.col("box")[e].cast("double") for e in ("x_min", "y_min", "x_max", "y_max")))
+    sent = plain.repartition(video).sortWithinPartitions(*sort).select(*plain.columns, F.xxhash64(video, F.col(video).isNull()).alias("__v"), F.col("ts").cast("double").alias("__ts"), box.alias("__box"))
+    width = len(plain.columns)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, count = None, [], 0
+        for batch in batches:
+            places, numbers = [], []
+            of, times, boxes = (batch.column(width + k).to_pylist() for k in range(3))
+            for k, v in enumerate(of):
+                if v != now:
+                    now, kept, count = v, [], 0
+                if count >= most or _repeats(times[k], boxes[k], kept, gap, iou):
+                    continue
+                kept.append((times[k], boxes[k]))
+                places.append(k), numbers.append(count)
+                count += 1
+            if places:
+                chosen = [batch.column(k).take(pa.array(places)) for k in range(width)]
+                yield pa.RecordBatch.from_arrays([*chosen, pa.array(numbers, pa.int32())], names=[*batch.schema.names[:width], "item_index"])
+
+    return sent.mapInArrow(fold, T.StructType([*plain.schema.fields, T.StructField("item_index", T.IntegerType())]))
+
+
+def _repeats(ts: float | None, box: list, kept: list, gap: float, iou: float) -> bool:
+    """Whether a kept (time, box) is near in time and overlaps enough."""
+    if ts is None or None in box:
+        return False
+    for t, b in kept:
+        if t is None or None in b or abs(ts - t) > gap:
+            continue
+        common = max(0.0, min(box[2], b[2]) - max(box[0], b[0])) * max(0.0, min(box[3], b[3]) - max(box[1], b[1]))
+        union = (box[2] - box[0]) * (box[3] - box[1]) + (b[2] - b[0]) * (b[3] - b[1]) - common
+        if (common / union if union > 0 else 0.0) >= iou:
+            return True
+    return False
 
 
 def select_item(items: DataFrame, index: int) -> DataFrame:

@@ -1,9 +1,12 @@
 """Interval sampling of frame timelines.
 
 The schedule advances by one interval per emitted frame, so after a jump in time
-consecutive frames are emitted until it has caught up.  With ``need`` the number of
-thresholds at or below a frame's time and ``i`` its row number, the frames emitted so
-far are ``i + min(1, running minimum of (need - i))``.
+consecutive frames are emitted until it has caught up.  Frames between two thresholds
+are a cell, ``k`` thresholds lie at or below each of its ``n`` frames, and the
+cell emits its first frames until ``k`` are out: of ``c`` emitted so far there are
+``min(c + n, k)`` after it.  That recurrence is a running sum and minimum over cells, so
+only the table of cells (one row per threshold) is ordered as a whole; frames are
+ordered inside their cell, in parallel, even where there is one timeline only.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ def sample_frames(frames: DataFrame, interval: float = 1.0, keys: list[str] | No
     ``order`` breaks ties of time.  ``exact`` counts thresholds made by repeated
     addition, as a running program would, by table lookup; else they are multiples
     of the interval, which is the same for integers and binary fractions.  Negative
-    and null times never emit.
+    and null times never emit; null keys are a timeline; equal frames are frames each; an
+    empty table gives an empty result; a column ``frame_index`` is replaced.
     """
     if interval <= 0:
         raise ValueError("the sampling interval must be greater than 0")
@@ -30,13 +34,21 @@ def sample_frames(frames: DataFrame, interval: float = 1.0, keys: list[str] | No
         rows = _thresholds_below(rows, interval, ts)
     else:
         rows = rows.withColumn("__need", F.floor(F.col(ts) / F.lit(float(interval))) + 1)
-    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    by = by.orderBy(ts, *(order or []))
-    numbered = rows.withColumn("__i", F.row_number().over(by) - 1)
-    emitted = F.col("__i") + F.least(F.lit(1), F.min(F.col("__need") - F.col("__i")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    counted = numbered.withColumn("__c", emitted)
-    kept = counted.withColumn("__b", F.lag("__c", 1, 0).over(by)).where(F.col("__c") > F.col("__b"))
-    return kept.withColumn("frame_index", F.col("__c") - 1).drop("__need", "__i", "__c", "__b")
+    cells = rows.groupBy(*keys, "__need").agg(F.count("*").alias("__n"))
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # of cells: one row per threshold
+    by = by.orderBy("__need").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("__s", F.sum("__n").over(by))
+    cells = cells.withColumn("__c", F.col("__s") + F.least(F.lit(0), F.min(F.col("__need") - F.col("__s")).over(by)))
+    before = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    cells = cells.withColumn("__b", F.lag("__c", 1, 0).over(before.orderBy("__need"))).where(F.col("__c") > F.col("__b"))
+    of_cell = cells.select(*(F.col(k).alias(f"__{n}") for n, k in enumerate([*keys, "__need"])), "__b", (F.col("__c") - F.col("__b")).alias("__e"))
+    same = F.lit(True)
+    for n, k in enumerate([*keys, "__need"]):
+        same = same & F.col(k).eqNullSafe(F.col(f"__{n}"))
+    met = rows.join(of_cell, same).drop(*(f"__{n}" for n in range(len(keys) + 1)))
+    within = Window.partitionBy(*keys, "__need").orderBy(ts, *(order or []))
+    numbered = met.withColumn("__i", F.row_number().over(within)).where(F.col("__i") <= F.col("__e"))
+    return numbered.withColumn("frame_index", F.col("__b") + F.col("__i") - 1).drop("__need", "__i", "__b", "__e")
 
 
 def _thresholds_below(rows: DataFrame, interval: float, ts: str) -> DataFrame:

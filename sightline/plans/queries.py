@@ -10,7 +10,7 @@ from ..functions.formatting import format_timestamp
 from ..functions.vectors import dot, mean_embedding
 from ..operators import gallery, identity, matching, sampling, timeline, tracking
 from ..operators.filters import confident, is_reliable
-from . import pipeline, proxies
+from . import fold_oracles, pipeline, proxies
 
 SAMPLE_SECONDS = 3600.0
 INTERVAL_SECONDS = 10800.0
@@ -310,4 +310,4 @@ def oracle_sql() -> dict[str, str]:
           SELECT obs_id, unnest(range(0, 15)) AS pos, round(unnest(v)::DOUBLE, 5) AS x FROM r""",
         "streaming_spans": f"WITH {_E}, {_spans('21600.0')} SELECT user_id, round(f, 6) AS first_ts, round(l, 6) AS last_ts, n FROM s",
     }
-    return out
+    return out | fold_oracles.fold_sql(_O)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.tracking import LinkState, TrackerSettings, fold_frames
+from ..operators.tracking import LinkState, TrackerSettings, flat_observations, fold_frames
 
 
 def live_spans(sightings: DataFrame, keys: list[str], gap_seconds: float, lateness: str = "1 minute", ts: str = "ts") -> DataFrame:
@@ -28,6 +28,7 @@ def live_tracks(observations: DataFrame, settings: TrackerSettings | None = None
 
     Frames of a video must arrive in order from batch to batch, whole frames at a time;
     inside a batch they are sorted.  The state is the live tracks, bounded by the gap.
+    Nulls are taken as ``track_members`` takes them.
     """
     settings = settings or TrackerSettings()
 
@@ -38,5 +39,5 @@ def live_tracks(observations: DataFrame, settings: TrackerSettings | None = None
         state.update((pickle.dumps(links),))
         yield out.assign(video_id=key[0])[["video_id", "track_id", "seq", "obs_id"]]
 
-    flat = observations.select("video_id", "obs_id", "frame_index", "det_index", "box.*", "embedding")
+    flat = flat_observations(observations)
     return flat.groupBy("video_id").applyInPandasWithState(step, "video_id string, track_id bigint, seq bigint, obs_id bigint", "links binary", "append", "NoTimeout")
