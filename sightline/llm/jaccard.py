@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, materialize
+from .common import WordHashes, bounded_batches, documents, materialize, release
 
 NGRAM = 5
 SIMILARITY = (3, 4)
@@ -48,7 +48,7 @@ FREQUENT_KEPT = 1 << 17
 SMALL_GROUP = 6
 BUCKET_BYTES = 12 << 20
 #: A worker counts, and packs, so many signatures at a time.
-HELD_SIGNATURES = 1 << 20
+HELD_SIGNATURES = 1 << 19
 PACKED_SIGNATURES = 1 << 18
 #: Fewest 64-bit words of a parity bitmap; it has 2 to 4 bits a token.
 SKETCH_WORDS = 16
@@ -191,10 +191,8 @@ def signatures_of(tokens: np.ndarray, similarity, frequent: "Frequent | None") -
             first = 2 * s.fused
             found = mixed(at_start[first + 1 :] - at_start[first:-1] + exact_salt)
             if frequent is not None and keep < len(found):
-                # Rarest first, then the units with most tokens: the same order on both sides of a match.
-                sizes = np.minimum(np.diff(starts[first:]), 1023)
-                rank = frequent.count_of(found).astype(_U) << _U(34) | (1023 - sizes).astype(_U) << _U(24) | found >> _U(40)
-                found = found[np.argpartition(rank, keep - 1)[:keep]]
+                # Rarest first, then the units with most tokens, then by signature: the same total order on both sides of a match.
+                found = found[np.lexsort((found, -np.diff(starts[first:]), frequent.count_of(found)))[:keep]]
             out.append(found)
     return np.concatenate(out) if out else np.empty(0, _U)
 
@@ -296,6 +294,8 @@ def _scan(rows: DataFrame, n: int, similarity, id_type: str) -> DataFrame:
                     signed, owners, held, seen = [], [], 0, set()
         if held:
             yield often(signed, owners, batch.column(0).type)
+        signed = owners = seen = None
+        release()
 
     return rows.mapInArrow(scan, f"kind tinyint, doc_id {id_type}, text_hash long, size long, node binary, key long, sketch array<long>, signature long, n long")
 
@@ -347,6 +347,8 @@ def _emit(rows: DataFrame, n: int, similarity, frequent, buckets: int) -> DataFr
                     signed, owners, held, seen = [], [], 0, set()
         if held:
             yield packed(signed, owners, table)
+        signed = owners = seen = table = None
+        release()
 
     return rows.mapInArrow(emit, "bucket int, signatures binary, owners binary, pivots binary")
 
@@ -540,6 +542,7 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: tuple[int,
     gives an empty result; other columns are ignored.
     """
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
+    bounded_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     scanned = materialize(_scan(texts.withColumn("text_hash", F.xxhash64("text")), ngram, similarity, id_type), "jaccard-scan")

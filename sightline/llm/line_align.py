@@ -1,17 +1,21 @@
 """Line dedup by pairwise alignment.
 
-Two documents overlap where they share a rare line hash: of a run of consecutive lines,
-the shortest that starts at a given line and has ``BLOCK_WORDS`` words.  Such a run is
-looked up by its hash, and its later holders are each paired with the first one, so a
-run in n documents makes n - 1 pairs, never all.  A pair's line hashes are aligned by
-patience diff: lines unique in both are anchors, their longest increasing chain is
-kept, and the gaps between anchors are aligned the same way.  Aligned blocks of
-``BLOCK_WORDS`` words or more are deleted from the later document, and what is left is
-aligned again.  A chain maximises lines, not words, so short lines can displace a moved
-block: where an alignment has no long block, the lines covered by any run that both
-documents hold are deleted instead, until they share none.
+Later exact copies go first: a text that an earlier document holds too is emptied
+without any alignment.  Of the other documents two overlap where they share a line hash of
+a run: of consecutive lines, the shortest that starts at a given line and has
+``BLOCK_WORDS`` words.  A run's later holders are each paired with the first one, so a
+run in n documents makes n - 1 pairs, never all; pairs grow with the holders, so
+no frequency limit is needed, and frequent passages are deleted like rare ones.  A pair's
+line hashes are aligned by patience diff: lines unique in both are anchors, their
+longest increasing chain is kept, and the gaps between anchors are aligned the same way.
+Aligned blocks of ``BLOCK_WORDS`` words or more are deleted from the later document, and
+what is left is aligned again.  A chain maximises lines, not words, so short lines can
+displace a moved block: where an alignment has no long block, the lines covered by any
+run that both documents hold are deleted instead, until they share none.
 
 Only hashes are exchanged for all this; texts are joined once, with the lines to drop.
+The lines of a first holder are sent to its pairs by salted keys, ``PAIRS_A_TASK`` pairs
+to a key, so that one document with many later copies is no hot key.
 """
 
 from __future__ import annotations
@@ -23,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, materialize
+from ..sources.scratch import discard
+from .common import WordHashes, bounded_batches, column, documents, materialize, release
 
 BLOCK_WORDS = 50
+PAIRS_A_TASK = 256
 
 _HASHES: list[WordHashes] = []
 
@@ -173,45 +179,67 @@ def dedup_lines(docs: DataFrame, least: int = BLOCK_WORDS, id_col: str = "doc_id
 
     The earlier document is the one with the lesser id (then the lesser text hash).  A
     block stays in its first holder.  Rows equal in id and text are one document and
-    change alike; rows with null id or text, and texts below ``least`` words, are left
-    as they are.  A later exact copy ends up empty.  Other columns pass through (those
-    named like the counts are replaced); an empty table gives an empty result.
+    change alike; rows with null id or text, empty texts and texts below ``least`` words
+    are left as they are.  A later exact copy loses all lines but blank ones.  Very long texts
+    are aligned whole.  Other columns pass through (those named like the counts are
+    replaced); an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                piece = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 512):
+                piece = batch.slice(at, 512)
                 hashes, words, runs = [], [], []
                 for text in piece.column(2).to_pylist():
                     h, w = line_table(text)
                     hashes.append(h), words.append(w), runs.append(run_hashes(h, w, least))
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int64()))], names=["id", "h", "lines", "words", "runs"])
+        release()
 
-    text_hash = F.xxhash64(F.col(text_col).cast("binary"))
-    whole = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), text_hash.alias("h"), F.col(text_col).cast("binary"))
+    text_hash = F.xxhash64(column(text_col).cast("binary"))
+    whole = docs.where(column(id_col).isNotNull() & column(text_col).isNotNull()).select(column(id_col).alias("id"), text_hash.alias("h"), column(text_col).cast("binary"))
     lines = materialize(whole.mapInArrow(scan, f"id {id_type}, h long, lines array<long>, words array<int>, runs array<long>").where(F.size("runs") > 0), "line-runs")
-    me = F.struct("id", "h").alias("me")
-    holders = lines.select(me, F.explode("runs").alias("run")).distinct()
-    first = holders.groupBy("run").agg(F.min("me").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = holders.join(first, "run").where(F.col("me") != F.col("first")).select("first", "me").distinct()
-    table = lines.select(me, "lines", "words").dropDuplicates(["me"])
-    met = pairs.join(table, "me").join(table.select(F.col("me").alias("first"), F.col("lines").alias("earlier")), "first")
+    # Texts held by several ids: the least keeps it.
+    held = lines.select("id", "h").distinct()
+    several = held.groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = materialize(held.join(several, "h").where(F.col("id") != F.col("least")).select("id", "h"), "line-copies")
+    table = lines.join(copies, ["id", "h"], "left_anti").select(F.struct("id", "h").alias("me"), "lines", "words", "runs").dropDuplicates(["me"])
+    table = materialize(table, "line-tables")
+    holders = table.select("me", F.explode("runs").alias("run"))
+    first = holders.groupBy("run").agg(F.min("me").alias("first"), F.count("*").alias("n")).where("n > 1")
+    pairs = holders.join(first, "run").where(F.col("me") != F.col("first")).groupBy("first", "me").agg(F.max("n").alias("n"))
+    pairs = materialize(pairs.withColumn("tasks", F.ceil(F.col("n") / F.lit(PAIRS_A_TASK)).cast("int")), "line-pairs")
+    salts = pairs.groupBy("first").agg(F.max("tasks").alias("tasks"))
+    earlier = salts.join(table.select(F.col("me").alias("first"), F.col("lines").alias("earlier")), "first").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    salted = pairs.select("first", "me", F.pmod(F.xxhash64("me"), F.col("tasks")).cast("int").alias("salt"))
+    met = salted.join(table.select("me", "lines", "words"), "me").join(earlier, ["first", "salt"])
 
     def align(batches):
         for batch in batches:
-            out = [common_lines(np.array(a, np.int64), np.array(b, np.int64), np.array(w, np.int32), least) for a, b, w in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["id", "h", "gone"])
+            for at in range(0, batch.num_rows, 64):
+                piece = batch.slice(at, 64)
+                out = [common_lines(np.array(a, np.int64), np.array(b, np.int64), np.array(w, np.int32), least) for a, b, w in zip(*(piece.column(k).to_pylist() for k in (2, 3, 4)))]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(out, pa.list_(pa.int32()))], names=["id", "h", "gone"])
+        release()
 
     gone = met.select("me.id", "me.h", "earlier", "lines", "words").mapInArrow(align, f"id {id_type}, h long, gone array<int>")
-    gone = gone.where(F.size("gone") > 0).groupBy(F.col("id").alias("__sl_id"), F.col("h").alias("__sl_h")).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("__sl_gone"))
+    gone = gone.where(F.size("gone") > 0).groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    marks = gone.unionByName(copies.withColumn("gone", F.lit(None).cast("array<int>")))
+    marks = materialize(marks.select(F.col("id").alias("__sl_id"), F.col("h").alias("__sl_h"), F.col("gone").alias("__sl_gone"), F.col("gone").isNull().alias("__sl_copy")), "line-marks")
+    discard(lines, table, pairs, copies)
     rows = docs.drop("n_lines", "n_dropped").withColumn("__sl_text_hash", text_hash)
-    rows = rows.join(gone, (F.col(id_col) == F.col("__sl_id")) & (F.col("__sl_text_hash") == F.col("__sl_h")), "left")
-    split = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("__sl_gone"), i)), "\n")
-    rows = rows.withColumns({"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("__sl_gone"), F.lit(0)).cast("long"), text_col: F.when(F.col("__sl_gone").isNull(), F.col(text_col)).otherwise(left)})
-    return rows.drop("__sl_id", "__sl_h", "__sl_gone", "__sl_text_hash")
+    rows = rows.join(marks, (column(id_col) == F.col("__sl_id")) & (F.col("__sl_text_hash") == F.col("__sl_h")), "left")
+    split = F.split(column(text_col), "\n", -1)
+    # Without the gone ones' numbers, in order; a copy keeps its blank lines.
+    every = F.sequence(F.lit(0), F.size(split) - 1)
+    blank = F.filter(every, lambda i: ~F.get(F.col("__sl_split"), i).rlike("[^\\x20\\x09-\\x0D]"))
+    rows = rows.withColumn("__sl_split", F.when(F.col("__sl_copy").isNotNull(), split)).withColumn("__sl_left", F.when(F.col("__sl_copy"), blank).when(F.col("__sl_gone").isNotNull(), F.array_except(every, F.col("__sl_gone"))))
+    left = F.array_join(F.transform("__sl_left", lambda i: F.get(F.col("__sl_split"), i)), "\n")
+    n_lines = F.coalesce(F.size(split), F.lit(0)).cast("long")
+    rows = rows.withColumns({"n_lines": n_lines, "n_dropped": F.when(F.col("__sl_left").isNotNull(), F.size("__sl_split") - F.size("__sl_left")).otherwise(F.lit(0)).cast("long"), text_col: F.when(F.col("__sl_left").isNull(), column(text_col)).otherwise(left)})
+    return rows.drop("__sl_id", "__sl_h", "__sl_gone", "__sl_copy", "__sl_text_hash", "__sl_split", "__sl_left")
 
 
 def op8_patience_lines(spark, sf_dir: str) -> DataFrame:
