@@ -18,11 +18,30 @@ def format_timestamp(seconds: Column) -> Column:
 def check_timestamp(seconds: float) -> str:
     """The same for one number; raises ``ValueError`` for a negative one."""
     if seconds < 0:
-        raise ValueError("seconds must be non-negative")
+        raise ValueError(f"a time can't be negative: {seconds}")
     minutes, rest = divmod(round(seconds * 100), 6000)
     return f"{minutes:02d}:{rest // 100:02d}.{rest % 100:02d}"
 
 
+# The layout of the texts below.
+def item_label(row, index: int) -> tuple[str, ...]:
+    """The lines under a gallery item."""
+    b = row["box"]
+    return f"#{index + 1}  t={row['ts']:.2f}s", f"conf={row['confidence']:.2f}", f"[{b['x_min']}, {b['y_min']}]-{b['x_max']}, {b['y_max']}"
+
+
+def card_label(row, index: int) -> tuple[str, ...]:
+    """The lines under a person card."""
+    return f"Person #{index + 1}  ({row['detection_count']} detections)", f"seen {row['first_seen']:.1f}s - {row['last_seen']:.1f}s", f"best conf={row['best_confidence']:.2f}"
+
+
+def run_report(title: str, frames: int, counts: dict[str, object], seconds: float) -> str:
+    """What a run did, how long it took and how many frames a second that is (0 without a duration)."""
+    rate = frames / seconds if seconds > 0 else 0.0
+    lines = {"Frames processed": frames, **counts, "Total processing time": f"{seconds:.2f} seconds", "Processing speed": f"{rate:.2f} frames/sec"}
+    return "\n".join((f"--- {title} ---", *(f"{k}: {v}" for k, v in lines.items()), "--- End Report ---"))
+
+
 def describe_item(row: dict, index: int | None = None) -> str:
     head = "Selected gallery item" + (f" #{index + 1}" if index is not None else "")
     b = row["box"]

@@ -27,7 +27,7 @@ def sample_frames(frames: DataFrame, interval: float = 1.0, keys: list[str] | No
     empty table gives an empty result; a column ``frame_index`` is replaced.
     """
     if interval <= 0:
-        raise ValueError("the sampling interval must be greater than 0")
+        raise ValueError(f"a sampling interval is longer than 0 seconds, not {interval}")
     keys = keys or []
     rows = frames.where(F.col(ts) >= 0)
     if exact:
