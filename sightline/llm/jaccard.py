@@ -537,9 +537,10 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: tuple[int,
 
     ``component_id`` is the least id reachable through links.  A text with fewer than
     ``ngram`` words is one shingle; null and blank texts have none and are linked with
-    nothing.  Rows with equal sets are one node, however many, with their least id;
-    null ids are ignored when the least is sought (all null: null).  An empty table
-    gives an empty result; other columns are ignored.
+    nothing.  A very long text's set is built whole.  Rows with equal sets are one node,
+    however many, with their least id, so repeated rows and ties have one answer; null
+    ids are ignored when the least is sought (all null: null).  An empty table gives an
+    empty result; other columns are ignored, whatever their names.
     """
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     bounded_batches(spark)
@@ -582,6 +583,10 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: tuple[int,
 def one_per_group(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their component's; a repeated row (same id and text) stays once.
 
+    Null, empty and blank texts are alone in their groups and stay; rows of one id with
+    different texts stay each if it is their group's; a null id stays where its group has
+    no other; an empty table gives an empty one; all columns pass through.
+
     ``groups`` is what ``near_duplicates`` returns for ``docs``.
     """
     kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__sl_id"), F.col("text_hash").alias("__sl_kept")).distinct()

@@ -232,9 +232,11 @@ _NAMES: dict = {}
 def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text", restore: bool = False) -> DataFrame:
     """``docs`` with values in ``text_col`` replaced, plus ``n_<kind>`` and ``n_replaced``.
 
-    Null texts stay null with counts 0; other columns pass through (those named like
-    the counts are replaced); equal texts get equal results.  With ``restore`` the same
-    key brings the values back.
+    Null texts stay null and empty ones empty, with counts 0; very long texts are searched
+    whole; equal values get equal pseudonyms in any row, so repeated rows and ties change
+    alike; values that fail their format's test stay; an empty table gives an empty one.
+    Other columns pass through (those named like the counts are replaced).  With
+    ``restore`` the same key brings the values back.
     """
     ours = [*(f"n_{k}" for k in KINDS), "n_replaced"]
     keep = [c for c in docs.columns if c not in ours]

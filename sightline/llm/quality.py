@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold_of, labelled_sample
+from .common import bounded_batches, documents, fold_of, labelled_sample, release
 
 #: At most this many labelled rows train the model.
 SAMPLE = 20_000
@@ -182,11 +182,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``keep`` (default: the id) and ``score``, the probability of label 1, for every row.
 
-    Null and empty texts have all statistics 0 and are scored like any other; repeated
-    rows score alike; without labels, or with one class only, all rows score the
-    smoothed base rate.  Columns of ``docs`` outside ``keep`` are ignored.
+    Null and empty texts have all statistics 0 and are scored like any other; very long
+    texts are measured whole; repeated rows score alike, and equal statistics give equal
+    scores; without labels, or with one class only, all rows score the smoothed base
+    rate; an empty table gives an empty one.  Columns of ``docs`` outside ``keep`` are
+    ignored; a kept column named ``score`` is replaced by the score.
     """
-    keep = keep or [id_col]
+    keep = [c for c in keep or [id_col] if c != "score"]
+    bounded_batches(docs.sparkSession)
     # A few hundred short tables, whatever the input.
     model = docs.sparkSession.sparkContext.broadcast(train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels))
 
@@ -194,6 +197,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
         for batch in batches:
             x = np.array([statistics(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.value(x))], names=[*keep, "score"])
+        release()
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(F.col(text_col).cast("binary").alias("__sl_text"), *keep).mapInArrow(score, f"{kinds}, score double")

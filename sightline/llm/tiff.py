@@ -327,8 +327,12 @@ def tiff_pages(media: DataFrame, content_col: str = "content") -> DataFrame:
     """One row per page: the other columns of ``media`` plus ``PAGE_SCHEMA``.
 
     Pages of a file follow one another, numbered from 0, inside one partition.  Null
-    content gives no page; empty or broken content gives one row with ``error``.
-    Columns of ``media`` named like the page columns are replaced.
+    content gives no page; empty or broken content gives one row with ``error``, and so does
+    a page that isn't of 8-bit samples in one plane or has more than ``PAGE_LIMIT_BYTES``
+    (a page is one cell of a column, and a directory may claim any size); the file's
+    other pages are read.  Very long files are read whole; repeated rows give their
+    pages each; an empty table gives an empty one.  Columns of ``media`` named like the
+    page columns are replaced.
     """
     ours = [c.split()[0] for c in PAGE_SCHEMA.split(", ")]
     keep = [c for c in media.columns if c not in ours and c != content_col]
@@ -367,7 +371,13 @@ def payload_tiff(payload: bytes, unit: int = UNIT, page_rows: int = PAGE_ROWS) -
 
 
 def text_media(docs: DataFrame, text_col: str = "text", unit: int = UNIT) -> DataFrame:
-    """``docs`` with ``text_col`` replaced by ``n_bytes`` and ``content``, a TIFF of its padded UTF-8 bytes."""
+    """``docs`` with ``text_col`` replaced by ``n_bytes`` and ``content``, a TIFF of its padded UTF-8 bytes.
+
+    Null and empty texts become one row of padding; a very long text has as many pages
+    as it needs (up to 2 GB, the size of a cell); equal texts get equal files; repeated
+    rows are stored each; an empty table gives an empty one.  Columns named
+    ``n_bytes`` or ``content`` are replaced, the others pass through.
+    """
     keep = [c for c in docs.columns if c not in (text_col, "n_bytes", "content")]
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__sl_text"), *keep)
 
@@ -393,7 +403,13 @@ def feature_of(pixels: np.ndarray, pages: int) -> str:
 
 
 def page_digests(pages: DataFrame, keep: list[str], unit: int = UNIT) -> DataFrame:
-    """One row per file from its page rows: digests of the pixels in page order and features."""
+    """One row per file from its page rows: digests of the pixels in page order and features.
+
+    ``pages`` comes as ``tiff_pages`` gives it: a file's pages in order, page 0 first, in one
+    partition.  A file with an ``error`` on any page, or without pixels, has null digests;
+    a file without pages (null content) has no row; files equal in ``keep`` have a row
+    each; an empty table gives an empty one; columns outside ``keep`` are ignored.
+    """
 
     def close(state, out):
         owner, pixels, n, error = state

@@ -214,3 +214,59 @@ def test_no_run_is_left_on_the_test_table(spark):
     for r in out:
         for x in line_align.run_hashes(*line_align.line_table(r.text.encode())).tolist():
             assert seen.setdefault(x, r.doc_id) == r.doc_id
+
+
+def plain_dedup(rows, least=50):
+    """Each document's kept text, by a loop over earlier holders of whole runs of lines."""
+    lines = {i: [x.strip() for x in t.split("\n")] for i, t in rows}
+
+    def runs(i):
+        out, full = {}, [k for k, x in enumerate(lines[i]) if x.split()]
+        for a in range(len(full)):
+            n = 0
+            for b in range(a, len(full)):
+                n += len(lines[i][full[b]].split())
+                if n >= least:
+                    out.setdefault(tuple(lines[i][k] for k in full[a : b + 1]), None)
+                    break
+        return set(out)
+
+    found, texts, first, kept = {i: runs(i) for i, _ in rows}, {}, {}, {}
+    for i, t in sorted(rows):
+        texts.setdefault(t, i)
+    originals = [i for i, t in sorted(rows) if texts[t] == i or not found[i]]
+    for i in originals:
+        for r in found[i]:
+            first.setdefault(r, i)
+    number = {x: k for k, x in enumerate(sorted({x for v in lines.values() for x in v if x.split()}), 1)}
+    coded = {i: np.array([number.get(x, 0) for x in v], np.int64) for i, v in lines.items()}
+    for i, t in rows:
+        if i not in originals:
+            gone = {k for k, x in enumerate(lines[i]) if x.split()}
+        else:
+            words = np.array([len(x.split()) for x in lines[i]], np.int32)
+            gone = set()
+            for other in {first[r] for r in found[i]} - {i}:
+                gone |= set(line_align.common_lines(coded[other], coded[i], words, least))
+        kept[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+    return kept
+
+
+def test_line_dedup_equals_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(line_align, "PAIRS_A_TASK", 3)
+    rng = random.Random(11)
+    line = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    passages = [[line(rng.randrange(5, 30)) for _ in range(6)] for _ in range(5)]
+    rows = []
+    for k in range(120):
+        parts = [line(rng.randrange(1, 20)) for _ in range(rng.randrange(1, 5))]
+        for p in rng.sample(passages, rng.randrange(3)):
+            at = rng.randrange(len(parts) + 1)
+            parts[at:at] = p if rng.random() < 0.6 else p[: rng.randrange(1, 6)] + [""] + p[3:]
+        rows.append((k, "\n".join(parts)))
+    rows += [(200 + k, rows[k % 7][1]) for k in range(30)] + [(300, ""), (301, "\n\n"), (302, line(3)), (303, line(3))]
+    rng.shuffle(rows)
+    got = line_align.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert {r.doc_id: r.text for r in got} == plain_dedup(rows)
+    texts = dict(rows)
+    assert all(r.n_lines == len(texts[r.doc_id].split("\n")) and (r.n_dropped > 0) == (r.text != texts[r.doc_id]) for r in got)

@@ -308,6 +308,118 @@ def test_classifiers_without_two_classes(spark, score):
     assert score(docs.limit(0), table).count() == 0
 
 
+def plain_statistics(text):
+    """The features by their names, with plain loops over the decoded bytes."""
+    data, words, lines = text, text.split(), text.split(b"\n")
+    n, k, full = len(data), max(1, len(text.split())), [x for x in text.split(b"\n") if x]
+    share = lambda keep: sum(map(keep, data)) / n
+    lengths = [len(w) for w in words] or [0]
+    mean = sum(lengths) / len(lengths)
+    punctuation, symbols = b".,;:?!'\"()-", b"#$%&*+/<=>@[\\]^_`{|}~"
+    return {
+        "log_words": math.log1p(len(words)), "log_lines": math.log1p(len(lines)), "word_length": mean, "word_length_spread": (sum((x - mean) ** 2 for x in lengths) / len(lengths)) ** 0.5,
+        "upper": share(lambda b: 65 <= b <= 90), "digits": share(lambda b: 48 <= b <= 57), "spaces": share(lambda b: b in b"\t\n\x0b\x0c\r "), "punctuation": share(lambda b: b in punctuation),
+        "symbols": share(lambda b: b in symbols), "pipes": share(lambda b: b == 124), "exclamations": share(lambda b: b == 33), "non_ascii": share(lambda b: b > 127),
+        "distinct_words": len(set(words)) / k, "top_word": max(Counter(words).values(), default=0) / k, "repeated_bigrams": 1 - len(set(zip(words, words[1:]))) / max(1, len(words) - 1),
+        "short_words": sum(x <= 3 for x in lengths) / len(lengths), "capitalised": sum(65 <= w[0] <= 90 for w in words) / k, "ends_in_stop": sum(x.endswith((b".", b"!", b"?")) for x in full) / max(1, len(full)),
+        "line_words": math.log1p(k / max(1, len(full))), "repeated_lines": 1 - len(set(full)) / max(1, len(full)), "stops_per_word": data.count(b".") / k, "commas_per_word": data.count(b",") / k,
+        "compressed": len(zlib.compress(data, 1)) / n, "longest_word": math.log1p(max(lengths)), "symbol_ended": sum(w[-1] in symbols for w in words) / k,
+    }
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.text(alphabet="aB1 \n\t.,!?|#é$", min_size=1, max_size=60))
+def test_statistics_against_plain_loops(text):
+    want = plain_statistics(text.encode())
+    assert list(want) == list(quality.NAMES) and np.allclose(quality.statistics(text.encode()), list(want.values()))
+
+
+def test_additive_model_against_plain_sums():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = quality.AdditiveModel(x, y)
+    got, parts = model(x), []
+    for row in x:
+        total = model.base + sum(table[sum(e < v for e in edges)] for v, edges, table in zip(row, model.edges, model.tables))
+        for i, j, table in model.pairs:
+            at = [sum(e < row[k] for e in model.pair_edges[k]) for k in (i, j)]
+            total += table[at[0] * (len(model.pair_edges[j]) + 1) + at[1]]
+        parts.append(1 / (1 + math.exp(-total)))
+    assert np.allclose(got, parts) and ((got > 0.5) == (y > 0)).mean() > 0.95
+    # The first cut of a tree is the best of all cuts.
+    g, w, c = rng.normal(size=12), rng.uniform(5, 9, 12), np.full(12, 20)
+    tree = quality._leaves(g, w, c, 1)
+    gain = lambda k: g[:k].sum() ** 2 / (w[:k].sum() + quality.PULL) + g[k:].sum() ** 2 / (w[k:].sum() + quality.PULL)
+    k = max(range(1, 12), key=gain)
+    want = np.repeat([g[:k].sum() / (w[:k].sum() + quality.PULL), g[k:].sum() / (w[k:].sum() + quality.PULL)], [k, 12 - k])
+    assert np.allclose(tree, want)
+
+
+def luhn(digits):
+    total = sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def test_pseudonyms_against_plain_checks(spark):
+    """Planted values in many texts: the rest stays, values stay valid, and the mapping is one to one."""
+    import datetime
+
+    rng, values = random.Random(8), {"card": [], "date": [], "ssn": []}
+    for _ in range(40):
+        d = [4, *(rng.randrange(10) for _ in range(14))]
+        values["card"].append("".join(map(str, [*d, next(x for x in range(10) if luhn([*d, x]))])))
+        values["date"].append((datetime.date(1990, 1, 1) + datetime.timedelta(rng.randrange(12000))).isoformat())
+        values["ssn"].append(f"{rng.randrange(100, 600):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}")
+    rows, planted = [], []
+    for k in range(300):
+        kind = rng.choice(list(values))
+        value, left, right = rng.choice(values[kind]), f"about {k} words ", f" and {k} more"
+        planted.append((kind, value, left, right))
+        rows.append((k, left + value + right, -1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_replaced int").repartition(5)
+    out = {r.doc_id: r for r in pseudonyms.pseudonymise(docs, b"secret").collect()}
+    mapped = {}
+    for k, (kind, value, left, right) in enumerate(planted):
+        text = out[k].text
+        assert text.startswith(left) and text.endswith(right) and out[k].n_replaced == out[k][f"n_{kind}"] == 1
+        new = text[len(left) : len(text) - len(right)]
+        assert mapped.setdefault((kind, value), new) == new and new != value
+        if kind == "card":
+            assert len(new) == 16 and new[0] == value[0] and luhn([int(x) for x in new])
+        elif kind == "date":
+            assert datetime.date.fromisoformat(new)
+        else:
+            assert re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", new)
+    assert len(set(mapped.values())) == len(mapped)
+    back = {r.doc_id: r.text for r in pseudonyms.pseudonymise(spark.createDataFrame([(k, r.text) for k, r in out.items()], "doc_id long, text string"), b"secret", restore=True).collect()}
+    assert back == {k: t for k, t, _ in rows}
+
+
+def test_shards_against_a_plain_sort(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = [(k, f"text {rng.randrange(900)} " * rng.randrange(1, 9)) for k in range(2500)] + [(k, "hot " * 30) for k in range(9000, 9600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = {r.doc_id: (r.h, r.g) for r in docs.select("doc_id", shards.hash62(F.col("text")).alias("h"), shards.hash62(F.lit(7), F.col("doc_id")).alias("g")).collect()}
+    got = sorted(shards.histogram_shard(docs, 16).collect(), key=lambda r: keyed[r.doc_id])
+    total = sum(len(t) + 1 for _, t in rows)
+    # In key order shards don't fall, and slots count from 0 in each.
+    at, before, place = 0, 0, Counter()
+    for r in got:
+        assert r.shard >= at and r.slot == place[r.shard]
+        at = r.shard
+        place[r.shard] += 1
+        before += len(r.text) + 1
+        assert abs(before - (r.shard + 0.5) * total / 16) <= (0.5 + 0.01) * total / 16 + 400
+    parted = defaultdict(set)
+    for r in got:
+        parted[r.text].add(r.shard)
+    weight = Counter(t for _, t in rows)
+    assert all(len(s) == 1 for t, s in parted.items() if weight[t] * (len(t) + 1) <= 2 * 0.005 * total / 16)
+
+
 def test_sample_is_bounded_and_stable(spark):
     docs, table, _ = labelled(spark)
     ids = lambda n, t=table: {r.doc_id for r in labelled_sample(spark, docs, t, "toxic", n).collect()}
