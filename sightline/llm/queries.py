@@ -28,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_wu_manber": decontaminate.ORACLE, "op10_curriculum_mix": curriculum.ORACLE}
+    return {"op2_ngram_jaccard": jaccard.ORACLE, "op3_wu_manber": decontaminate.ORACLE, "op10_curriculum_mix": curriculum.ORACLE}
