@@ -127,6 +127,52 @@ def test_grouper_cases(spark):
             GrouperSettings(**bad)
 
 
+def test_nulls_in_the_folds(spark):
+    """Missing boxes, vectors, times and videos are neither an error nor lost."""
+    box = "struct<x_min: bigint, y_min: bigint, x_max: bigint, y_max: bigint>"
+    rows = [
+        ("v", 0, 0, 0, 0.0, A, 0.9, E1), ("v", 1, 1, 0, 0.25, A, 0.9, None), ("v", 2, 2, 0, 0.5, None, 0.9, E1), ("v", 3, 3, 0, None, A, None, E1),
+        ("v", 4, None, 0, None, A, 0.9, E2), (None, 5, 0, None, 0.0, A, 0.9, E1), (None, 6, 1, 0, None, A, 0.9, E1), ("w", 7, 0, 0, None, B, 0.9, E1),
+    ]
+    obs = spark.createDataFrame(rows, f"video_id string, obs_id bigint, frame_index bigint, det_index int, ts double, box {box}, confidence double, embedding array<float>")
+    members = tracking.track_members(obs)
+    track = {r.obs_id: r.track_id for r in members.collect()}
+    assert len(track) == 8 and track[0] == track[1] == track[3] and len({track[0], track[2], track[4]}) == 3 and track[5] == track[6]
+    facts = {(r.video_id, r.track_id): r for r in tracking.tracks(obs, members).collect()}
+    assert len(facts) == 5 and facts["v", track[0]].rep_obs_id == 0 and facts["w", 1].start_time is None and facts["v", track[4]].track_order == 2
+    found = {r.obs_id: r for r in identity.group_members(obs, members).collect()}
+    assert {k: r.status for k, r in found.items()} == {0: "grouped", 1: "dropped", 2: "unassigned", 3: "dropped", 4: "grouped", 5: "grouped", 6: "grouped", 7: "grouped"}
+    assert found[0].group_id == 1 and found[4].group_id == 2 and found[5].group_id == found[6].group_id == 1
+    cards = identity.person_cards(obs, identity.group_members(obs, members))
+    assert cards.count() == 4 and cards.where("video_id is null").first().detection_count == 2
+    assert tracking.track_members(obs.limit(0)).count() == 0 and identity.group_members(obs.limit(0), members.limit(0)).count() == 0
+
+
+def test_single_observations_are_grouped_in_time_order(spark):
+    obs = observations(spark, [(0, A, E1, 0.9), (1, B, E2, 0.9), (2, A, unit(0.98, 0.1, 0, 0), 0.9), (3, A, E1, 0.3)])
+    got = {r.obs_id: (r.group_id, r.seq, r.status) for r in identity.group_observations(obs, HALF).collect()}
+    ids = [r.obs_id for r in obs.orderBy("frame_index").collect()]
+    assert [got[i] for i in ids] == [(1, 0, "grouped"), (2, 0, "grouped"), (1, 1, "grouped"), (None, None, "unassigned")]
+    leaders = identity.Leaders(HALF)
+    assert [leaders.add(v) for v in (E1, E2, E1)] == [1, 2, 1]
+
+
+def test_batches_may_cut_frames_and_tracks(spark):
+    rng = random.Random(4)
+    rows = [(f, (x, 0, x + 40, 40), unit(rng.random(), rng.random(), 1, 0)) for f in range(40) for x in (0, 15, 200, 210)]
+    obs = observations(spark, rows)
+    settings, name = TrackerSettings(0.3, 1, -1.0), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    whole = sorted(map(tuple, tracking.track_members(obs, settings).collect()))
+    groups = sorted(map(tuple, identity.group_members(obs, tracking.track_members(obs, settings)).collect()), key=str)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        assert sorted(map(tuple, tracking.track_members(obs, settings).collect())) == whole
+        assert sorted(map(tuple, identity.group_members(obs, tracking.track_members(obs, settings)).collect()), key=str) == groups
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_tracks_into_groups(spark):
     obs = observations(spark, [(0, A, E1, 0.95), (1, A, E1, 0.2), (2, A, E1, 0.95)])
     got = {r.obs_id: r.status for r in identity.group_members(obs, tracking.track_members(obs)).collect()}
@@ -165,10 +211,14 @@ def test_assignment_equals_greedy(spark):
 def test_centroids_in_blocks(spark):
     q = spark.createDataFrame([(k, unit(*np.random.default_rng(k).normal(size=4))) for k in range(20)], "id int, embedding array<float>")
     c = spark.createDataFrame([(k, unit(*np.random.default_rng(100 + k).normal(size=4))) for k in range(9)], "group_id int, embedding array<float>")
-    rows = lambda n: sorted(map(tuple, matching.nearest_centroids(q, c, "id", max_broadcast_rows=n).collect()))
-    assert rows(100) == rows(2)
+    rows = lambda n: sorted((r.id, r.group_id, round(r.best, 9), round(r.second, 9), r.accepted) for r in matching.nearest_centroids(q, c, "id", block_bytes=n).collect())
+    assert rows(1 << 20) == rows(100) and len(rows(100)) == 20
     alone = matching.nearest_centroids(q, c.limit(1), "id").collect()
     assert all(r.second == -1.0 for r in alone)
+    odd = spark.createDataFrame([(1, None), (2, [1.0, 0.0, 0.0, 0.0])], "id int, embedding array<float>")
+    ties = spark.createDataFrame([(5, [1.0, 0.0, 0.0, 0.0]), (3, [1.0, 0.0, 0.0, 0.0]), (1, None)], "group_id int, embedding array<float>")
+    assert sorted(map(tuple, matching.nearest_centroids(odd, ties, "id").collect())) == [(1, None, None, None, False), (2, 3, 1.0, 1.0, False)]
+    assert [r.group_id for r in matching.nearest_centroids(odd, ties.limit(0), "id").collect()] == [None, None]
 
 
 def loop_gallery(cands, gap, iou_least, most):
