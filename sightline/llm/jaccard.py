@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard
 from .common import WordHashes, bounded_batches, documents, materialize, release
 
 NGRAM = 5
@@ -500,7 +501,8 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, similar
 
     # The id finds the text; its digest says whether it is the one meant, as ids may repeat.
     sets = _texts_of(texts, wanted.select("doc_id")).mapInArrow(tokens, "node binary, tokens binary")
-    sets = materialize(sets.join(wanted.select("node").distinct(), "node", "left_semi"), "jaccard-sets").dropDuplicates(["node"])
+    held = materialize(sets.join(wanted.select("node").distinct(), "node", "left_semi"), "jaccard-sets")
+    sets = held.dropDuplicates(["node"])
 
     def verify(batches):
         for batch in batches:
@@ -515,7 +517,9 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, similar
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
     shipped = met.join(sets.withColumnsRenamed({"node": "node_a", "tokens": "tokens_a"}), "node_a").join(sets.withColumnsRenamed({"node": "node_b", "tokens": "tokens_b"}), "node_b")
-    return shipped.select("node_a", "node_b", "tokens_a", "tokens_b").mapInArrow(verify, "u binary, v binary")
+    links = materialize(shipped.select("node_a", "node_b", "tokens_a", "tokens_b").mapInArrow(verify, "u binary, v binary"), "jaccard-links")
+    discard(met, held)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -527,8 +531,11 @@ def components(links: DataFrame) -> DataFrame:
         passed = labels.join(near, "node").select("node", F.least("label", "l").alias("label"), F.col("label").alias("old"))
         jump = passed.select(F.col("node").alias("label"), F.col("label").alias("root"))
         fresh = materialize(passed.join(jump, "label", "left").select("node", F.coalesce(F.least("root", "label"), "label").alias("label"), "old"), "labels")
+        discard(labels)
         labels = fresh.select("node", "label")
+        labels._scratch = fresh._scratch
         if fresh.where(F.col("label") != F.col("old")).isEmpty():
+            discard(both)
             return labels
 
 
@@ -557,7 +564,7 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: tuple[int,
     nodes = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("key").alias("key"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "jaccard-nodes")
     pairs = found.where("kind = 0").select("a", "b").distinct()
-    links = materialize(_links(pairs, nodes, texts, ngram, similarity), "jaccard-links")
+    links = _links(pairs, nodes, texts, ngram, similarity)
     labels = components(links)
     # Groups that did not fall into one component: compare across components.
     where = nodes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
@@ -569,9 +576,11 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: tuple[int,
     members = members.join(open_, "family").join(nodes.select("key", "size", "sketch"), "key")
     cross = _family_pairs(members, similarity).join(pairs, ["a", "b"], "left_anti")
     cross = materialize(cross, "jaccard-cross")
+    discard(found, held)
     if not cross.isEmpty():
-        more = materialize(_links(cross, nodes, texts, ngram, similarity), "jaccard-links")
+        more = _links(cross, nodes, texts, ngram, similarity)
         if not more.isEmpty():
+            discard(labels)
             labels = components(links.union(more))
     reach = nodes.select("node", "doc_id").join(labels, "node")
     least = reach.groupBy("label").agg(F.min("doc_id").alias("component_id"))
