@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm import curriculum, decontaminate, jaccard, shards, toxicity
 from sightline.llm.common import documents, scratch_path
+from sightline.sources.scratch import discard
 
 TOXIC = 0.5
 
@@ -106,7 +107,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
+        path, read = scratch_path(spark, f"pipeline-{name}"), docs
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        docs._scratch = path
+        discard(read)
     return docs

@@ -53,7 +53,7 @@ def quality(confidence: Column, b: Column) -> Column:
 def letterbox(frame_width: Column, frame_height: Column, target_width: int = 640, target_height: int = 640) -> Column:
     """``scale, width, height, pad_x, pad_y`` of a frame fitted inside a target."""
     if target_width <= 0 or target_height <= 0:
-        raise ValueError("the target size must be positive")
+        raise ValueError(f"a target needs a width and a height, not {target_width} x {target_height}")
     scale = F.least(F.lit(float(target_width)) / frame_width, F.lit(float(target_height)) / frame_height)
     one = F.lit(1).cast("bigint")
     w, h = F.greatest(one, rounded(frame_width * scale)), F.greatest(one, rounded(frame_height * scale))
@@ -97,7 +97,7 @@ def padded_crop(b: Column, frame_width: Column, frame_height: Column, padding: f
     Null for boxes without positive sides and for crops that collapse.
     """
     if padding < 0:
-        raise ValueError("padding must be non-negative")
+        raise ValueError(f"a padding can't be negative: {padding}")
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     px, py = (F.greatest(one, rounded(side * F.lit(float(padding)))) for side in (width(b), height(b)))
     x0, y0 = F.greatest(zero, b["x_min"] - px), F.greatest(zero, b["y_min"] - py)
@@ -108,6 +108,6 @@ def padded_crop(b: Column, frame_width: Column, frame_height: Column, padding: f
 def grid_cell(index: Column, columns: int = 4, tile: int = 192, padding: int = 12, label: int = 56) -> Column:
     """Where a montage shows its tile: row, column, top and left pixel of the cell."""
     if columns <= 0:
-        raise ValueError("columns must be greater than 0")
+        raise ValueError(f"a grid needs a column at least, not {columns}")
     row, column = F.floor(index / F.lit(columns)), F.pmod(index, F.lit(columns))
     return F.struct(row.alias("row"), column.alias("column"), (row * (tile + label + 2 * padding)).alias("top"), (column * (tile + 2 * padding)).alias("left"))

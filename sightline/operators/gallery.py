@@ -82,7 +82,7 @@ def select_item(items: DataFrame, index: int) -> DataFrame:
     """The item at an index of every video; ``IndexError`` where no video has it."""
     found = items.where(F.col("item_index") == index)
     if index < 0 or found.isEmpty():
-        raise IndexError(f"gallery index out of range: {index}")
+        raise IndexError(f"no gallery item has the index {index}, it is out of range")
     return found
 
 

@@ -154,8 +154,8 @@ def person_cards(observations: DataFrame, grouped: DataFrame, video: str = "vide
 def select_card(cards: DataFrame, index: int, video: str = "video_id") -> DataFrame:
     """The card at an index of every video; ``IndexError`` for a negative index or one no video has."""
     if index < 0:
-        raise IndexError(f"card index out of range: {index}")
+        raise IndexError(f"no person card has the index {index}, it is out of range")
     found = cards.where(F.col("card_index") == index)
     if found.isEmpty():
-        raise IndexError(f"card index out of range: {index}")
+        raise IndexError(f"no person card has the index {index}, it is out of range")
     return found

@@ -19,13 +19,13 @@ PADDING_SAMPLES = 0.5
 def settings(sample_interval: float, gap: float | None = None, padding: float | None = None) -> tuple[float, float]:
     """Gap tolerance and padding in seconds, checked; defaults are 2 and 0.5 samples."""
     if sample_interval <= 0:
-        raise ValueError("sample_interval must be positive")
+        raise ValueError(f"samples lie more than 0 seconds apart, not {sample_interval}")
     gap = GAP_SAMPLES * sample_interval if gap is None else gap
     padding = PADDING_SAMPLES * sample_interval if padding is None else padding
     if gap < 0:
-        raise ValueError("gap tolerance must be non-negative")
+        raise ValueError(f"a gap can't be negative: {gap}")
     if padding < 0:
-        raise ValueError("padding must be non-negative")
+        raise ValueError(f"a padding can't be negative: {padding}")
     return float(gap), float(padding)
 
 
@@ -63,7 +63,7 @@ def appearance_intervals(times: DataFrame, keys: list[str], duration, sample_int
     gap, padding = settings(sample_interval, gap, padding)
     if isinstance(duration, (int, float)):
         if duration < 0:
-            raise ValueError("video duration must be non-negative")
+            raise ValueError(f"a duration can't be negative: {duration}")
     else:
         duration = F.col(duration)
     return merged_spans(padded_spans(raw_spans(times, keys, gap, ts), padding, duration), keys)

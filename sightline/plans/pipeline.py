@@ -31,7 +31,7 @@ class Identities:
 def identities(observations: DataFrame, videos: DataFrame, confidence: float = 0.6, padding: float = 0.08, tracker: TrackerSettings | None = None, grouper: GrouperSettings | None = None) -> Identities:
     """Track and group confident observations that have a crop and an embedding."""
     if padding < 0:
-        raise ValueError("padding must be non-negative")
+        raise ValueError(f"a padding can't be negative: {padding}")
     sized = confident(observations, confidence).join(videos.select("video_id", "width", "height"), "video_id")
     kept = usable_crops(sized.withColumn("crop_box", padded_crop(F.col("box"), F.col("width"), F.col("height"), padding))).where(F.col("embedding").isNotNull()).drop("width", "height")
     kept = materialize(kept, "observations")
