@@ -90,17 +90,18 @@ def _starts(rows: DataFrame, digits: int, cells: DataFrame) -> DataFrame:
     return placed.withColumn("__sl_start", start)
 
 
-def _partial_pass(placed: DataFrame) -> DataFrame:
+def _partial_pass(slim: DataFrame, digits: int, cells: DataFrame) -> DataFrame:
     """Of each source ``__sl_last``: the start of the document that closes the gap of its partial pass, or null.
 
-    The documents that end by the rest of the target are used anyway.
+    The documents that end by the rest of the target are used anyway.  Rows are only ever
+    keyed by (source, cell); what is keyed by source are sums and the table of cells.
     """
     size, start, rest = F.col("__sl_size"), F.col("__sl_start"), F.col("__sl_rest")
     end = start + size
-    filled = F.coalesce(F.max(F.when(end <= rest, end)), F.lit(0))
-    gap = F.first("__sl_rest") - filled
-    of_gaps = placed.where(size > 0).groupBy("__sl_source").agg(gap.alias("__sl_gap"))
-    after = placed.where((size > 0) & (end > rest)).join(of_gaps, "__sl_source")
+    filled = _starts(slim, digits, cells).groupBy("__sl_source").agg(F.max(F.when((size > 0) & (end <= rest), end)).alias("__sl_filled"))
+    gap = F.col("__sl_rest") - F.coalesce(F.col("__sl_filled"), F.lit(0))
+    with_gap = cells.join(filled, "__sl_source").withColumn("__sl_gap", gap).drop("__sl_filled")
+    after = _starts(slim, digits, with_gap).where((size > 0) & (end > rest))
     off = F.abs(F.col("__sl_gap") - size)
     best = after.groupBy("__sl_source", "__sl_gap").agg(F.min(F.struct(off.alias("off"), start.alias("start"))).alias("best"))
     return best.select("__sl_source", F.when(F.col("best.off") < F.col("__sl_gap"), F.col("best.start")).alias("__sl_last"))
@@ -138,7 +139,7 @@ def mix(docs: DataFrame, cycle=CYCLE, max_repeats: int = MAX_REPEATS, schedules=
     targets = targets.withColumn("__sl_passes", passes).withColumn("__sl_rest", F.col("target") - F.col("__sl_passes") * F.col("source_size"))
     # One row per occupied (source, cell).
     offsets = materialize(offsets.join(targets, "__sl_source"), "mix-cells")
-    last = _partial_pass(_starts(slim, digits, offsets))
+    last = _partial_pass(slim, digits, offsets)
     placed = _starts(rows, digits, materialize(offsets.join(last, "__sl_source", "left"), "mix-cells"))
     size, start = F.col("__sl_size"), F.col("__sl_start")
     partial = (start + size <= F.col("__sl_rest")) | F.coalesce(start == F.col("__sl_last"), F.lit(False))
