@@ -42,7 +42,7 @@ SAMPLE = 20_000
 CALIBRATION = 6_000
 CLASSES = ("ordinary", "toxic")
 #: Tokens and distinct words a worker gathers before it packs their pairs, and bytes of input a slice.
-GATHERED = (1 << 21, 200_000)
+GATHERED = (1 << 20, 120_000)
 SLICE_BYTES = 8 << 20
 #: Multiples of the discounts, of words and of bigrams (infinite: bigrams back off wholly).
 STRENGTHS = (2.0, 4.0, 8.0), (2.0, 4.0, 8.0, float("inf"))
