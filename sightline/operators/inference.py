@@ -65,8 +65,10 @@ def letterboxed(image: np.ndarray, size: tuple[int, int]) -> np.ndarray:
 def detect_faces(frames: DataFrame, factory: Callable[[], Detector], settings: DetectorSettings | None = None) -> DataFrame:
     """Detections of every frame: box and landmarks in source pixels, most confident first.
 
-    The threshold is given to the model and checked again on its rows; frames without
-    three channels have no detections.
+    The threshold is given to the model and checked again on its rows; null frames and those
+    without three channels have no detections; equal confidences go by the model's numbers;
+    repeated frames are detected each, and numbered together; an empty table gives
+    an empty one.
     """
     settings = settings or DetectorSettings()
 
@@ -102,7 +104,11 @@ def place_detections(faces: DataFrame, settings: DetectorSettings | None = None)
 
 
 def embed_detections(frames: DataFrame, detections: DataFrame, factory: Callable[[], Embedder]) -> DataFrame:
-    """Detections with a unit ``embedding``; those that can't be embedded are left out."""
+    """Detections with a unit ``embedding``; those that can't be embedded are left out.
+
+    That is without a frame, box or landmarks, with an image that lacks three channels, with
+    a vector of length 0, or where the model raises ``ValueError``.
+    """
     from ..functions.geometry import model_row
 
     rows = detections.withColumn("__row", model_row(F.col("box"), F.col("landmarks"), F.col("confidence")))

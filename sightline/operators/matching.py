@@ -18,7 +18,8 @@ def overlapping_pairs(detections: DataFrame, max_frame_gap: int = 0, iou_thresho
     """Detections of nearby frames whose boxes overlap: ``video, frame_index, prev_frame, prev_det, det_index, iou``.
 
     The frame distance is an equality on ``frame_index``, so the join hashes on (video,
-    frame) and never compares distant frames.
+    frame) and never compares distant frames.  A detection without a video, frame or box
+    pairs with nothing; repeated rows pair each; an empty table gives an empty result.
     """
     if not 0 <= iou_threshold <= 1 or max_frame_gap < 0:
         raise ValueError("an overlap threshold lies between 0 and 1, and a frame gap isn't negative")
@@ -30,12 +31,15 @@ def overlapping_pairs(detections: DataFrame, max_frame_gap: int = 0, iou_thresho
 
 
 def link_candidates(observations: DataFrame, max_frame_gap: int = 0, iou_threshold: float = 0.3, contradiction_floor: float = 0.25, video: str = "video_id") -> DataFrame:
-    """Overlapping pairs whose embeddings don't contradict: kept unless ``similarity < floor``."""
+    """Overlapping pairs whose embeddings don't contradict: kept unless ``similarity < floor``.
+
+    A null embedding contradicts nothing, as in the tracker; its similarity is null.
+    """
     if not -1 <= contradiction_floor <= 1:
         raise ValueError("a similarity floor lies between -1 and 1")
     pairs = overlapping_pairs(observations, max_frame_gap, iou_threshold, video)
     scored = pairs.withColumn("similarity", dot(F.col("__e"), F.col("embedding"))).drop("__e", "embedding")
-    return scored.where(~(F.col("similarity") < F.lit(float(contradiction_floor))))
+    return scored.where(~F.coalesce(F.col("similarity") < F.lit(float(contradiction_floor)), F.lit(False)))
 
 
 def assign_one_to_one(pairs: DataFrame, group: list[str], left: str, right: str, score: str, materialize=None) -> DataFrame:
@@ -44,10 +48,15 @@ def assign_one_to_one(pairs: DataFrame, group: list[str], left: str, right: str,
     Rounds of mutual best: a pair that is the best of both its sides is what greedy
     takes next for them; it and all pairs touching it leave.  Rounds are few (each
     removes the best pair of every group); ``materialize`` writes a round's rest to
-    cut lineage, by default a checkpoint in ``spark.checkpoint.dir``.
+    cut lineage, by default a table in ``spark.checkpoint.dir``.  Pairs with a null in
+    the group, either side or the score are left out; of equal rows all are taken; an
+    empty table gives an empty result.
     """
     materialize = materialize or _checkpointed
-    taken, rest = None, materialize(pairs)
+    whole = F.lit(True)
+    for c in (*group, left, right, score):
+        whole = whole & F.col(c).isNotNull()
+    taken, rest = None, materialize(pairs.where(whole))
     while True:
         rank = F.struct(score, left, right)
         of_left, of_right = Window.partitionBy(*group, left), Window.partitionBy(*group, right)

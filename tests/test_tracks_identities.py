@@ -127,6 +127,16 @@ def test_grouper_cases(spark):
             GrouperSettings(**bad)
 
 
+def test_nulls_in_pairs(spark):
+    box = "struct<x_min: bigint, y_min: bigint, x_max: bigint, y_max: bigint>"
+    rows = [("v", 0, 0, A, E1), ("v", 1, 0, A, None), ("v", 2, 0, None, E1), (None, 0, 0, A, E1), (None, 1, 0, A, E1), ("v", None, 0, A, E1)]
+    table = spark.createDataFrame(rows, f"video_id string, frame_index bigint, det_index int, box {box}, embedding array<float>")
+    got = matching.link_candidates(table, 1).collect()
+    assert [(r.prev_frame, r.frame_index, r.similarity) for r in got] == [(0, 1, None)]
+    pairs = spark.createDataFrame([(None, 1, 1, 0.5), ("g", None, 1, 0.9), ("g", 1, 1, None), ("g", 1, 2, 0.4), ("g", 1, 2, 0.4)], "g string, l int, r int, s double")
+    assert [tuple(r) for r in matching.assign_one_to_one(pairs, ["g"], "l", "r", "s").collect()] == [("g", 1, 2, 0.4)] * 2
+
+
 def test_nulls_in_the_folds(spark):
     """Missing boxes, vectors, times and videos are neither an error nor lost."""
     box = "struct<x_min: bigint, y_min: bigint, x_max: bigint, y_max: bigint>"
