@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
