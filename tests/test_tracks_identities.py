@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from sightline.operators import gallery, identity, matching, tracking
 from sightline.operators.identity import GrouperSettings
