@@ -55,6 +55,8 @@ PACKED_SIGNATURES = 1 << 18
 SKETCH_WORDS = 16
 #: Members of a family compared at a time, on either side.
 FAMILY_BLOCK = 4096
+#: Parts of a large group's key.
+SALTS = 16
 #: Up to this many wanted texts are found by a broadcast bitmap of 16 bits each (32 MB), more by a join.
 BITMAP_ITEMS = 1 << 24
 
@@ -430,15 +432,24 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(chosen, "text binary")
 
 
+def _salted_join(rows: DataFrame, facts: DataFrame, on: str) -> DataFrame:
+    """``rows`` with the ``facts`` of their group, one row a group, without a hot key: by the group and a salt of ``key``.
+
+    Groups here have more than ``SMALL_GROUP`` rows, so that ``SALTS`` copies of their
+    facts are of the order of the rows.
+    """
+    copies = facts.withColumn("__sl_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__sl_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(copies, [on, "__sl_salt"]).drop("__sl_salt")
+
+
 def _family_pairs(members: DataFrame, similarity) -> DataFrame:
     """Pairs (a < b) of each family, across labels, that the exact bounds let pass.
 
-    ``members``: ``family, key, label, size, sketch``.  Families are cut into blocks, and
-    each task compares two blocks, so memory doesn't grow with a family.
+    ``members``: ``family, blocks, key, label, size, sketch``.  Families are cut into blocks,
+    and each task compares two blocks, so memory doesn't grow with a family.
     """
     num, den = similarity
-    blocks = members.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
-    rows = members.join(blocks, "family").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = members.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", "label", "size", "sketch")
 
@@ -571,9 +582,9 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: tuple[int,
     held = found.where("kind = 1").select(F.col("a").alias("signature"), F.col("b").alias("key")).distinct().join(where, "key")
     held = materialize(held, "jaccard-groups")
     lead = held.groupBy("signature").agg(F.min("key").alias("family"))
-    members = held.join(lead, "signature").select("family", "key", "label").distinct()
-    open_ = members.groupBy("family").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("family")
-    members = members.join(open_, "family").join(nodes.select("key", "size", "sketch"), "key")
+    members = _salted_join(held, lead, "signature").select("family", "key", "label").distinct()
+    open_ = members.groupBy("family").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
+    members = _salted_join(members, open_.where("l0 <> l1").select("family", "blocks"), "family").join(nodes.select("key", "size", "sketch"), "key")
     cross = _family_pairs(members, similarity).join(pairs, ["a", "b"], "left_anti")
     cross = materialize(cross, "jaccard-cross")
     discard(found, held)
