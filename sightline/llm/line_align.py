@@ -230,7 +230,8 @@ def dedup_lines(docs: DataFrame, least: int = BLOCK_WORDS, id_col: str = "doc_id
     marks = materialize(marks.select(F.col("id").alias("__sl_id"), F.col("h").alias("__sl_h"), F.col("gone").alias("__sl_gone"), F.col("gone").isNull().alias("__sl_copy")), "line-marks")
     discard(lines, table, pairs, copies)
     rows = docs.drop("n_lines", "n_dropped").withColumn("__sl_text_hash", text_hash)
-    rows = rows.join(marks, (column(id_col) == F.col("__sl_id")) & (F.col("__sl_text_hash") == F.col("__sl_h")), "left")
+    # The same plan at every size: marks grow with the rows, so they aren't broadcast while they happen to be few.
+    rows = rows.join(marks.hint("merge"), (column(id_col) == F.col("__sl_id")) & (F.col("__sl_text_hash") == F.col("__sl_h")), "left")
     split = F.split(column(text_col), "\n", -1)
     # Without the gone ones' numbers, in order; a copy keeps its blank lines.
     every = F.sequence(F.lit(0), F.size(split) - 1)
