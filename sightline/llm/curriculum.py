@@ -27,7 +27,7 @@ from .common import WORD, column, documents, materialize
 #: Weights of the sources in code-point order, repeating.
 CYCLE = (5, 2, 1)
 MAX_REPEATS = 3
-CELL_WORDS = 1 << 22
+CELL_WORDS = 1 << 20
 #: Schedules in turn, like CYCLE: (time, relative weight) knots; early, steady and late emphasis.
 SCHEDULES = (
     ((0.0, 1.5), (1.0, 0.5)),
