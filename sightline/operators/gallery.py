@@ -4,6 +4,10 @@ Greedy suppression by priority (confidence, time, input order): a candidate is k
 unless a kept one of its video lies at most ``gap`` seconds away and overlaps
 enough.  A video's gallery has at most ``max_items``, so the fold over a video's sorted
 candidates holds the kept ones only and passes over the rest once it is full.
+
+A window numbers the sorted candidates: only an operator that requires a video in one
+task holds it there.  ``repartition`` is left out by the planner behind a join on the
+same key, whose exchange adaptive execution may then read without moving rows.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,20 +42,21 @@ def select_representatives(rows: DataFrame, max_items: int = MAX_ITEMS, gap: flo
     is replaced.
     """
     most = max(1, max_items)
-    sort = [F.col(video), F.col("confidence").desc_nulls_last(), F.col("ts"), *(order or ["frame_index", "det_index"])]
+    sort = [F.col("confidence").desc_nulls_last(), F.col("ts"), *(order or ["frame_index", "det_index"])]
     plain = rows.drop("item_index")
     box = F.array(*(F.col("box")[e].cast("double") for e in ("x_min", "y_min", "x_max", "y_max")))
-    sent = plain.repartition(video).sortWithinPartitions(*sort).select(*plain.columns, F.xxhash64(video, F.col(video).isNull()).alias("__v"), F.col("ts").cast("double").alias("__ts"), box.alias("__box"))
+    rank = F.row_number().over(Window.partitionBy(video).orderBy(*sort))
+    sent = plain.select(*plain.columns, rank.alias("__rank"), F.col("ts").cast("double").alias("__ts"), box.alias("__box"))
     width = len(plain.columns)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kept, count = None, [], 0
+        kept, count = [], 0
         for batch in batches:
             places, numbers = [], []
-            of, times, boxes = (batch.column(width + k).to_pylist() for k in range(3))
-            for k, v in enumerate(of):
-                if v != now:
-                    now, kept, count = v, [], 0
+            ranks, times, boxes = (batch.column(width + k).to_pylist() for k in range(3))
+            for k, of_video in enumerate(ranks):
+                if of_video == 1:
+                    kept, count = [], 0
                 if count >= most or _repeats(times[k], boxes[k], kept, gap, iou):
                     continue
                 kept.append((times[k], boxes[k]))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sightline.operators import gallery, identity, matching, tracking
 from sightline.operators.identity import GrouperSettings
@@ -261,6 +262,27 @@ def test_exactly_one_second_apart_still_conflicts(spark):
     assert [r.k for r in gallery.select_representatives(rows, order=["k"]).orderBy("item_index").collect()] == [0, 2]
 
 
+def test_gallery_behind_a_join_turned_broadcast(spark):
+    """A video stays in one task where the join's exchange by video is read without moving rows."""
+    box = "struct<x_min: bigint, y_min: bigint, x_max: bigint, y_max: bigint>"
+    rng = random.Random(9)
+    cands = {f"v{v}": [(rng.randrange(0, 40) / 4, (x, 0, x + 40, 40), rng.randrange(60, 100) / 100) for x in (rng.randrange(1, 80) for _ in range(60))] for v in range(5)}
+    rows = [(v, k, t, b, c) for v, of in cands.items() for k, (t, b, c) in enumerate(of)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), f"video_id string, k int, ts double, box {box}, confidence double")
+    videos = spark.createDataFrame([(v, 1000, 1000) for v in cands], "video_id string, width int, height int").groupBy("video_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "8KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for name, value in limits.items():
+            spark.conf.set(name, value)
+        got = gallery.select_representatives(gallery.candidates(table, videos), 12, 1.0, 0.6, order=["k"]).collect()
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
+    for v, of in cands.items():
+        assert [r.k for r in sorted((r for r in got if r.video_id == v), key=lambda r: r.item_index)] == loop_gallery(of, 1.0, 0.6, 12)
+
+
 def test_end_to_end(spark):
     obs = observations(spark, [(f, A, E1) for f in range(4)] + [(f, B, E2) for f in range(2)] + [(20, A, E1)])
     videos = spark.createDataFrame([("v", 1000, 1000, 30.0)], "video_id string, width int, height int, duration double")
