@@ -30,15 +30,20 @@ def overlapping_pairs(detections: DataFrame, max_frame_gap: int = 0, iou_thresho
     return pairs.where(F.col("iou") >= F.lit(float(iou_threshold))).drop("__a", "__b")
 
 
-def link_candidates(observations: DataFrame, max_frame_gap: int = 0, iou_threshold: float = 0.3, contradiction_floor: float = 0.25, video: str = "video_id") -> DataFrame:
+def link_candidates(observations: DataFrame, max_frame_gap: int = 0, iou_threshold: float = 0.3, contradiction_floor: float = 0.25, video: str = "video_id", digits: int | None = None) -> DataFrame:
     """Overlapping pairs whose embeddings don't contradict: kept unless ``similarity < floor``.
 
     A null embedding contradicts nothing, as in the tracker; its similarity is null.
+    With ``digits`` similarities are rounded to as many before they meet the floor; one
+    that comes to zero from below is -0.0, which no floor of zero leaves out.
     """
     if not -1 <= contradiction_floor <= 1:
         raise ValueError("a similarity floor lies between -1 and 1")
     pairs = overlapping_pairs(observations, max_frame_gap, iou_threshold, video)
-    scored = pairs.withColumn("similarity", dot(F.col("__e"), F.col("embedding"))).drop("__e", "embedding")
+    similarity = dot(F.col("__e"), F.col("embedding"))
+    if digits is not None:  # in a list of one, so that the product is taken once
+        similarity = F.get(F.transform(F.array(similarity), lambda s: F.when((s < 0) & (F.round(s, digits) == 0), F.lit(-0.0)).otherwise(F.round(s, digits))), F.lit(0))
+    scored = pairs.withColumn("similarity", similarity).drop("__e", "embedding")
     return scored.where(~F.coalesce(F.col("similarity") < F.lit(float(contradiction_floor)), F.lit(False)))
 
 

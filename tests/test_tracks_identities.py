@@ -137,6 +137,24 @@ def test_nulls_in_pairs(spark):
     assert [tuple(r) for r in matching.assign_one_to_one(pairs, ["g"], "l", "r", "s").collect()] == [("g", 1, 2, 0.4)] * 2
 
 
+def test_link_candidates_are_filtered_by_the_shown_similarity(spark, tmp_path):
+    """As in its SQL: one that is zero as shown stays, from below as -0.0; one below that or without a similarity goes."""
+    import duckdb
+    from sightline.plans import queries
+
+    turned = lambda x: [x, 1.0]
+    vectors = {4: E1[:2], 8: turned(-4.9e-6), 12: turned(-5.1e-6), 1: E1[:2], 5: turned(-4e-6), 9: turned(4e-6), 2: E1[:2], 6: turned(0.25), 10: None}
+    table = spark.createDataFrame([(k, v, 0) for k, v in vectors.items()], "vec_id bigint, embedding array<float>, label int")
+    table.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.link_candidates(spark, str(tmp_path)).collect()
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = db.sql(queries.oracle_sql()["link_candidates"]).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert {(r.prev_frame, r.frame_index, r.det_index, repr(r.similarity)) for r in got} >= {(1, 2, 0, "-0.0"), (0, 1, 1, "-0.0"), (0, 2, 1, "0.0"), (0, 1, 2, "0.25")}
+    assert not {(1, 3, 0), (0, 2, 2), (1, 2, 2)} & {(r.prev_frame, r.frame_index, r.det_index) for r in got}
+
+
 def test_nulls_in_the_folds(spark):
     """Missing boxes, vectors, times and videos are neither an error nor lost."""
     box = "struct<x_min: bigint, y_min: bigint, x_max: bigint, y_max: bigint>"
