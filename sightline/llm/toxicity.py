@@ -309,21 +309,41 @@ class Counts:
         return places(self.vocabulary, words), places(self.contexts, h[:-1]), places(self.keys, pair_keys(h[:-1], h[1:]))
 
 
+def word_table(counts: Counts, strength: float) -> np.ndarray:
+    """Unigram probabilities by class."""
+    shared = counts.shared / max(counts.shared.sum(), 1.0)
+    unigram = np.zeros((2, len(counts.vocabulary) + 1))
+    for c in (0, 1):
+        kept = kept_counts(counts.words[c], counts.word_discounts[c], strength)
+        total = max(counts.word_totals[c], 1.0)
+        unigram[c] = np.append(kept, 0.0) / total + (1.0 - kept.sum() / total) * shared
+    return unigram
+
+
+def bigram_tables(counts: Counts, strength: float) -> tuple[np.ndarray, np.ndarray]:
+    """By class what each context leaves to the unigrams, and the share that each bigram keeps."""
+    contexts = len(counts.contexts)
+    freed, seen = np.ones((2, contexts + 1)), np.zeros((2, len(counts.keys) + 1))
+    for c in (0, 1):
+        kept = kept_counts(counts.bigrams[c], counts.bigram_discounts[c], strength)
+        n = np.maximum(counts.context_totals[c], 1.0)
+        seen[c, :-1] = kept / n[counts.context_of] if len(kept) else kept
+        freed[c, :-1] = np.where(counts.context_totals[c] > 0, 1.0 - np.bincount(counts.context_of, kept, contexts) / n, 1.0)
+    return freed, seen
+
+
 class KneserNey:
-    """Both class models under given strengths of the discounts; the last place of each table stands for all others."""
-
-    def __init__(self, counts: Counts, word_strength: float, bigram_strength: float):
-        shared = counts.shared / max(counts.shared.sum(), 1.0)
-        size, contexts = len(counts.vocabulary), len(counts.contexts)
-        self.unigram, self.freed, self.seen = np.zeros((2, size + 1)), np.ones((2, contexts + 1)), np.zeros((2, len(counts.keys) + 1))
-        for c in (0, 1):
-            kept = kept_counts(counts.words[c], counts.word_discounts[c], word_strength)
-            total = max(counts.word_totals[c], 1.0)
-            self.unigram[c] = np.append(kept, 0.0) / total + (1.0 - kept.sum() / total) * shared
-            kept = kept_counts(counts.bigrams[c], counts.bigram_discounts[c], bigram_strength)
-            n = np.maximum(counts.context_totals[c], 1.0)
-            self.seen[c, :-1] = kept / n[counts.context_of] if len(kept) else kept
-            self.freed[c, :-1] = np.where(counts.context_totals[c] > 0, 1.0 - np.bincount(counts.context_of, kept, contexts) / n, 1.0)
+    """Both class models under given strengths of the discounts; the last place of each table stands for all others.
+
+    ``tables``: by their strength those that other models have made, for models to share.
+    """
+
+    def __init__(self, counts: Counts, word_strength: float, bigram_strength: float, tables: dict | None = None):
+        tables = {} if tables is None else tables
+        for key, make in ((("words", word_strength), word_table), (("bigrams", bigram_strength), bigram_tables)):
+            if key not in tables:
+                tables[key] = make(counts, key[1])
+        self.unigram, (self.freed, self.seen) = tables["words", word_strength], tables["bigrams", bigram_strength]
 
     def log_probabilities(self, found) -> np.ndarray:
         word, context, bigram = found
@@ -408,30 +428,31 @@ def count_classes(docs: DataFrame, sample: DataFrame) -> Counts:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, calibration: int = CALIBRATION):
-    """Fit both models; returns the model broadcast, the span and the calibration."""
+    """Fit both models; returns the broadcast counts, the strengths, the span and the calibration."""
     spark = docs.sparkSession
     bounded_batches(spark)
     counts = count_classes(docs, labelled_sample(spark, docs, labels, label, sample, (1, 2, 3)))
     choices = [(a, b) for a in STRENGTHS[0] for b in STRENGTHS[1]]
-    tried = spark.sparkContext.broadcast([KneserNey(counts, *x) for x in choices])
+    # One broadcast: each is a file on the driver and on every executor.  Workers make the models from it.
+    sent = spark.sparkContext.broadcast(counts)
     held = labelled_sample(spark, docs, labels, label, calibration, (4,))
-    rows = _span_means(held.select("text", "label"), spark.sparkContext.broadcast(counts), tried, SPANS, ["label"]).toArrow()
-    tried.unpersist()
+    rows = _span_means(held.select("text", "label"), sent, choices, SPANS, ["label"]).toArrow()
     y = (rows["label"].to_numpy() > 0).astype(float)
     x = np.array(rows["__sl_x"].to_pylist(), float).reshape(len(y), len(choices), len(SPANS))
     fits = [(Calibration(x[:, i, k], y), choices[i], SPANS[k]) for i in range(len(choices)) for k in range(len(SPANS))]
     fit, strengths, span = min(fits, key=lambda f: f[0].loss)
-    return spark.sparkContext.broadcast(counts), spark.sparkContext.broadcast([KneserNey(counts, *strengths)]), span, fit
+    return sent, strengths, span, fit
 
 
-def _span_means(rows: DataFrame, counts, models, spans, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` and ``__sl_x``: of each model in turn the means of ``spans``."""
+def _span_means(rows: DataFrame, counts, choices, spans, keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep`` and ``__sl_x``: of the model of each choice of strengths in turn the means of ``spans``."""
     own = text_col in keep
     sent = [column(c) for c in keep] + ([] if own else [column(text_col).alias("__sl_text")])
     at = keep.index(text_col) if own else len(keep)
 
     def score(batches):
-        hashed, c, every = hashes(), counts.value, models.value
+        hashed, c, tables = hashes(), counts.value, {}
+        every = [KneserNey(c, *x, tables) for x in choices]
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 piece, x = batch.slice(start, 512), []
@@ -441,7 +462,7 @@ def _span_means(rows: DataFrame, counts, models, spans, keep: list[str], text_co
                         x += span_means(m.evidence(found) if found else np.empty(0), spans)
                 ends = pa.array(np.arange(piece.num_rows + 1) * len(every) * len(spans), pa.int32())
                 yield pa.RecordBatch.from_arrays([*piece.columns[: len(keep)], pa.ListArray.from_arrays(ends, pa.array(x, pa.float64()))], names=[*keep, "__sl_x"])
-        hashed.clear()
+        hashed.clear(), tables.clear(), every.clear()
         release()
 
     sent_rows = rows.select(*sent)
@@ -461,8 +482,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
     """
     keep = [c for c in keep or [id_col] if c != score_col]
     plain = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
-    counts, model, span, fit = train(plain, labels)
-    rows = _span_means(docs, counts, model, (span,), keep, text_col)
+    counts, strengths, span, fit = train(plain, labels)
+    rows = _span_means(docs, counts, [strengths], (span,), keep, text_col)
     return rows.withColumn(score_col, fit(F.get("__sl_x", F.lit(0)))).drop("__sl_x")
 
 

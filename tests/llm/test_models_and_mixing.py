@@ -295,6 +295,21 @@ def test_kneser_ney_against_brute_force(spark, strengths):
     assert all(whole(c, a) == pytest.approx(1) for c in (0, 1) for a in (None, "w1", "other"))
 
 
+def test_models_share_tables_and_one_broadcast(spark, monkeypatch):
+    docs, table, _ = labelled(spark, 60)
+    sent = []
+    real = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or real(self, value))
+    assert toxicity.toxicity_scores(docs, table).count() == docs.count()
+    # The vocabulary and the counts; each broadcast is a file on every executor, and twelve models were most of the disk.
+    assert [type(x) for x in sent] == [np.ndarray, toxicity.Counts]
+    counts, tables = sent[1], {}
+    for strengths in [(a, b) for a in toxicity.STRENGTHS[0] for b in toxicity.STRENGTHS[1]]:
+        one, shared = toxicity.KneserNey(counts, *strengths), toxicity.KneserNey(counts, *strengths, tables)
+        assert all(np.array_equal(getattr(one, k), getattr(shared, k)) for k in ("unigram", "freed", "seen"))
+    assert len(tables) == len(toxicity.STRENGTHS[0]) + len(toxicity.STRENGTHS[1])
+
+
 def test_spans():
     x = np.array([3.0, -1.0, 1.0, 1.0])
     assert toxicity.span_means(x, (0, 1, 2, 16)) == [1.0, 3.0, 2.0, 1.0] and toxicity.span_means(x[:0], (0, 3)) == [0.0, 0.0]
