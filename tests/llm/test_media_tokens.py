@@ -107,6 +107,56 @@ def test_other_settings_are_encoded_whole(tmp_path):
         assert np.frombuffer(ids, "<i4").tolist() == [*plain.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_words_are_tokenized_many_in_a_call():
+    path, whole = tokenizer()
+    coder = token_store.Encoder(path, 1)
+
+    class Counted:
+        def __init__(self, model):
+            self.inner, self.calls = model, 0
+
+        def __getattr__(self, name):
+            self.calls += 1
+            return getattr(self.inner, name)
+
+    coder.model = Counted(coder.model)
+    rng = np.random.default_rng(0)
+    texts = [" ".join("".join(map(chr, rng.choice([*range(97, 123), 223, 233, 246], 8))) + "," * (k % 2) for k in range(500)) for _ in range(10)]
+    for t, ids in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]
+    assert coder.model.calls < 50
+
+
+@pytest.mark.parametrize("content", ["foo", "?!", "b,", "É"])
+def test_added_tokens_within_words(tmp_path, content):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path, whole = tokenizer()
+    settings = json.loads(whole.to_str())
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(settings | {"added_tokens": [*settings["added_tokens"], {**settings["added_tokens"][0], "id": 49408, "content": content}]}))
+    plain, coder = Tokenizer.from_file(str(other)), token_store.Encoder(str(other), 1)
+    texts = ["a foo, xfoox Foo FOO?!", "what?! ab, b,c B,", "É é ÉÉ caféÉ", "你 foo b, É"]
+    assert not coder.whole
+    assert not token_store.splits_at_spaces(settings | {"added_tokens": [{**settings["added_tokens"][0], "content": "\n\n"}]})
+    for t, ids in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == [*plain.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_encoder_table_is_bounded(monkeypatch):
+    path, whole = tokenizer()
+    coder = token_store.Encoder(path, 1)
+    monkeypatch.setattr(token_store, "TABLE_BYTES", 400, raising=False)
+    for k in range(6):
+        texts = [*ODD, None, "", " ".join(f"w{chr(97 + (k + j) % 26)}x, Ünd Word" for j in range(20)), "x" * 500]
+        for t, ids in zip(texts, coder.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<i4").tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 1]
+        assert coder.units.nbytes < 800
+    assert coder.encode([]) == []
+
+
 def test_store_and_selective_read(spark, tmp_path):
     path, whole = tokenizer()
     rows = [(k * 3 % 101, f"word{k} " * (k % 7)) for k in range(100)] + [(200, None), (200, None), (None, "null id")]
